@@ -21,7 +21,7 @@ from strata.llm.shared import cut, small_batches, table
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a task remembers, and the longest of them.
-CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 1_200_000, 64
 
 #: length, first rank, number of pieces, first sequence, pieces a sequence takes, offset of the first of them
 Run = tuple[int, int, int, int, int, int]
@@ -161,30 +161,61 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run]
     return fixed + rest, bins
 
 
-class _Words:
-    """Ids of texts, by word: the tokenizer cuts at white space first, so a text's ids are those of its words in turn."""
+class Words:
+    """Ids of texts, by word: the tokenizer cuts at white space first, so a text's ids are those of its words in turn.
+    ids hold two bytes each while the vocabulary allows it."""
+
+    #: Stands between words that are encoded as one text. Its id spells this byte, so no word without it has the id;
+    #: words with it, or with a character that may begin a special token, are encoded each by itself.
+    MARK = "\x01"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def look_up(self, words: list[bytes]) -> list[np.ndarray]:
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        fresh = {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                fresh[w] = np.array(e.ids, dtype="<u4")
-        known.update((w, v) for w, v in fresh.items() if len(w) <= CACHE_WORD_BYTES)
-        if all(len(w) <= CACHE_WORD_BYTES for w in new):
-            return [known[w] for w in words]
-        return [known[w] if w in known else fresh[w] for w in words]
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
+        alone = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark_id = alone[0] if len(alone) == 1 else -1
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of each word, in turn."""
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            if self.mark_id < 0 or any(b"<" in w or b"\x01" in w for w in part):
+                found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+                yield from (np.array(e.ids, dtype=self.kind).tobytes() for e in found)
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".encode().join(part).decode()], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = [*(np.flatnonzero(ids == self.mark_id) * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
+            data, start = ids.tobytes(), 0
+            for end in ends:
+                yield data[start:end]
+                start = end + self.kind.itemsize
+
+    def learn(self, texts: list[list[bytes]]):
+        """A function from each word of these texts to its ids."""
+        new = set().union(*texts).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known = {}
+            new = set().union(*texts)
+        odd = [w for w in new if len(w) > CACHE_WORD_BYTES or b"<" in w or b"\x01" in w]
+        plain = list(new.difference(odd))
+        self.known.update(zip(plain, self.encode(plain), strict=True))
+        if not odd:
+            return self.known.__getitem__
+        known, extra = self.known, dict(zip(odd, self.encode(odd), strict=True))
+        return lambda w: known[w] if w in known else extra[w]
+
+
+#: Of this process, by path: tasks that follow one another in a Python worker share it.
+_WORDS: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    return _WORDS[path]
 
 
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -197,14 +228,17 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
         import pyarrow as pa
         from pyspark import TaskContext
 
+        from strata.llm.packing import words_of
         from strata.llm.shared import utf8
 
-        words, task, seen = _Words(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        end = np.array([END_ID], dtype="<u4")
+        words, task, seen = words_of(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        end = np.array([END_ID], dtype=words.kind).tobytes()
         for batch in batches:
             rows: list[list] = [[] for _ in range(8)]
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                ids = np.concatenate([*words.look_up(text.split()), end])
+            texts = [text.split() for text in utf8(batch.column(1))]
+            ids_of = words.learn(texts)
+            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                ids = np.frombuffer(b"".join(map(ids_of, text)) + end, dtype=words.kind).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     seen[len(part)] += 1
