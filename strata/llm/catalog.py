@@ -1,7 +1,7 @@
 """The queries of this package, by name."""
 
-from strata.llm import packing, token_counts
+from strata.llm import language_model, packing, token_counts
 
-MODULES = [token_counts, packing]
+MODULES = [token_counts, language_model, packing]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
