@@ -1,7 +1,7 @@
 """The queries of this package, by name."""
 
-from strata.llm import language_model, packing, quality, token_counts
+from strata.llm import decontamination, language_model, packing, quality, token_counts, toxicity
 
-MODULES = [quality, token_counts, language_model, packing]
+MODULES = [quality, decontamination, token_counts, language_model, packing, toxicity]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
