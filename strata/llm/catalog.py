@@ -1,7 +1,7 @@
 """The queries of this package, by name."""
 
-from strata.llm import decontamination, language_model, packing, pii, quality, token_counts, toxicity, url_filter
+from strata.llm import decontamination, language_model, packing, pii, quality, simhash, token_counts, toxicity, url_filter
 
-MODULES = [quality, url_filter, decontamination, token_counts, language_model, packing, pii, toxicity]
+MODULES = [simhash, quality, url_filter, decontamination, token_counts, language_model, packing, pii, toxicity]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
