@@ -121,17 +121,20 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield block
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Holds docs (doc_id, text) against benchmark (item_id, text); other columns are ignored.
 
-    Returns a row for each row of docs: doc_id, contaminated, items (ids of test items, sorted), and spans
+    Returns a row for each row of docs: doc_id, the columns of docs named in `keep`, contaminated, items (ids of test items, sorted), and spans
     (item_id, start and end in words of the document, matched). Null and empty texts are clean, and null items and
     items of under SHORTEST words are not looked for; rows with an equal or null doc_id each get a row; an empty
     benchmark leaves all clean.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rest = [c for c in keep if c != "text"]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
+    carried = [c for c in docs.columns if c == "doc_id" or c in keep]
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in carried)
     kinds = "spans array<struct<item_id: long, start: long, end: long, matched: long>>"
     passes = []
     for block in _blocks(benchmark):
@@ -149,11 +152,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 spans = [[(index.ids[i], a, b, n) for i, a, b, n in index.overlaps(word_hashes(t, known))] for t in utf8(batch.column(1))]
                 rows = pa.array(range(row, row + len(spans)), pa.int64())
                 row += len(spans)
-                yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array([[dict(zip(("item_id", "start", "end", "matched"), s, strict=True)) for s in x] for x in spans], kind)], names=["_row", "doc_id", "spans"])
+                yield pa.RecordBatch.from_arrays([rows, *(batch.column(batch.schema.names.index(c)) for c in carried), pa.array([[dict(zip(("item_id", "start", "end", "matched"), s, strict=True)) for s in x] for x in spans], kind)], names=["_row", *carried, "spans"])
 
-        passes.append(docs.mapInArrow(run, f"_row long, doc_id long, {kinds}"))
+        passes.append(docs.mapInArrow(run, f"_row long{kept}, {kinds}"))
     if not passes:
-        found = docs.select("doc_id", F.lit(None).cast(kinds.removeprefix("spans ")).alias("spans")).withColumn("spans", F.coalesce("spans", F.filter("spans", lambda _: F.lit(False)), F.from_json(F.lit("[]"), kinds.removeprefix("spans "))))
+        found = docs.select(*carried, F.lit(None).cast(kinds.removeprefix("spans ")).alias("spans")).withColumn("spans", F.coalesce("spans", F.filter("spans", lambda _: F.lit(False)), F.from_json(F.lit("[]"), kinds.removeprefix("spans "))))
     elif len(passes) == 1:
         found = passes[0]
     else:
@@ -161,8 +164,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         every = cut(passes[0], "pass")
         for x in passes[1:]:
             every = every.unionByName(cut(x, "pass"))
-        found = every.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return found.select("doc_id", (F.size("spans") > 0).alias("contaminated"), F.array_sort(F.array_distinct("spans.item_id")).alias("items"), "spans")
+        found = every.groupBy("_row").agg(*(F.first(c, ignorenulls=True).alias(c) for c in carried), F.flatten(F.collect_list("spans")).alias("spans"))
+    return found.select(*carried, (F.size("spans") > 0).alias("contaminated"), F.array_sort(F.array_distinct("spans.item_id")).alias("items"), "spans")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

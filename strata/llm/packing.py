@@ -291,10 +291,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
     return ranked.select(*columns, "rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
-def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer_path() -> str:
+    """The tokenizer of the query."""
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {"op7_best_fit_packing": op7_best_fit_packing}

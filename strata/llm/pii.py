@@ -113,14 +113,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(every, "term").where(F.col("both") >= DISCLOSURE * F.col("n")).select("entity", "term")
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row of docs (doc_id, text; other columns are ignored) with its findings.
 
-    Returns doc_id, text, spans (kind, first, last, found: by kind as in KINDS, terms last, then by place). A null
+    Returns doc_id, text, the columns of docs named in `keep`, and spans (kind, first, last, found: by kind as in KINDS, terms last, then by place). A null
     text stays null and has none, as an empty one; rows with an equal or null doc_id are searched each by itself; an
     empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     # equal rows have equal findings, so a row's key is what it holds
     key = [F.xxhash64("doc_id", "text").alias("_a"), F.hash("text", "doc_id").alias("_b")]
     found = cut(docs.select(*key, "doc_id", "text", F.coalesce(base_spans(F.col("text")), F.array().cast(SPANS)).alias("spans")).where(F.size("spans") > 0), "entities")
@@ -129,7 +129,7 @@ def find(docs: DataFrame) -> DataFrame:
     placed = F.filter(_placed(F.col("text"), WORD), lambda s: F.array_contains(F.col("terms"), _plain(s["found"])) & ~F.exists("spans", lambda b: (b["first"] < s["last"]) & (s["first"] < b["last"])))
     more = found.join(own, ["_a", "_b"]).select("_a", "_b", F.concat("spans", _named("term", placed)).alias("all"))
     spans = found.select("_a", "_b", "spans").dropDuplicates(["_a", "_b"]).join(more.dropDuplicates(["_a", "_b"]), ["_a", "_b"], "left").select("_a", "_b", F.coalesce("all", "spans").alias("spans"))
-    return docs.select(*key, "doc_id", "text").join(spans, ["_a", "_b"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return docs.select(*key, "doc_id", "text", *keep).join(spans, ["_a", "_b"], "left").select("doc_id", "text", *keep, F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -51,9 +51,9 @@ def telling_terms(texts: DataFrame) -> DataFrame:
     return terms.where((df >= SUPPORT) & (F.col("toxic") * n > df * total["t"])).withColumn("gain", gain)
 
 
-def features(texts: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """Numbers and occurrences of the terms in each text; other columns stay."""
-    rest = [c for c in texts.columns if c != "text"]
+def features(texts: DataFrame, terms: dict[bytes, int], with_text: bool = False) -> DataFrame:
+    """Numbers and occurrences of the terms in each text; other columns stay, and with_text the text."""
+    rest = [c for c in texts.columns if with_text or c != "text"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -64,7 +64,7 @@ def features(texts: DataFrame, terms: dict[bytes, int]) -> DataFrame:
             found = [Counter(k for w in words_of(t) if (k := terms.get(w)) is not None) for t in utf8(batch.column(batch.schema.names.index("text")))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in rest), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=[*rest, "terms", "times"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name in rest)
     return texts.mapInArrow(run, f"{kinds}, terms array<int>, times array<int>")
 
 
@@ -106,14 +106,14 @@ class Model:
     def __init__(self, terms: dict[bytes, float], thresholds: list[float]):
         self.terms, self.thresholds = terms, thresholds
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """docs without text, with p_toxic (P of any grade above 0), severity (expected grade) and grade (likeliest)."""
+    def score(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
+        """docs, without text unless with_text, with p_toxic (P of any grade above 0), severity (expected grade) and grade (likeliest)."""
         names = list(self.terms)
         z = F.aggregate(F.zip_with("terms", "times", lambda t, n: F.element_at(F.array(*map(F.lit, self.terms.values())), t + 1) * F.log1p(n.cast("double"))), F.lit(0.0), lambda a, b: a + b)
         above = [1 / (1 + F.exp(F.lit(float(t)) - F.col("_z"))) for t in self.thresholds]
         each = F.array(*[a - b for a, b in zip([F.lit(1.0), *above], [*above, F.lit(0.0)], strict=True)])
-        found = features(docs, {t: k for k, t in enumerate(names)}).withColumn("_z", z if names else F.lit(0.0))
-        return found.select(*(c for c in docs.columns if c != "text"), above[0].alias("p_toxic"), sum(above[1:], above[0]).alias("severity"), (F.array_position(each, F.array_max(each)) - 1).cast("int").alias("grade"))
+        found = features(docs, {t: k for k, t in enumerate(names)}, with_text).withColumn("_z", z if names else F.lit(0.0))
+        return found.select(*(c for c in docs.columns if with_text or c != "text"), above[0].alias("p_toxic"), sum(above[1:], above[0]).alias("severity"), (F.array_position(each, F.array_max(each)) - 1).cast("int").alias("grade"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -138,15 +138,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model({t: float(w[k]) for t, k in terms.items() if w[k]}, thresholds.tolist())
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Grades every row of docs by a model trained on those with labels.
 
-    Returns doc_id, p_toxic, severity (expected grade, 0 to 2), grade and rejected (p_toxic of REJECT_AT or more).
+    Returns doc_id, the columns of docs named in `keep`, p_toxic, severity (expected grade, 0 to 2), grade and rejected (p_toxic of REJECT_AT or more).
     A null or empty text has no terms; rows with an equal or null doc_id are graded each by itself.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return train(docs, labels).score(docs).withColumn("rejected", F.col("p_toxic") >= REJECT_AT)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in keep if c != "text"))
+    return train(docs, labels).score(docs, "text" in keep).withColumn("rejected", F.col("p_toxic") >= REJECT_AT)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
