@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,9 +33,27 @@ def small_batches(spark: SparkSession) -> None:
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: its lineage ends there, and a lost executor loses nothing of it."""
+    return cut_at(df, label)[0]
+
+
+def cut_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The same, and the table's path, for forget()."""
     path = f"{shared_dir(df.sparkSession)}/strata-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver notice which frames are gone, so that Spark's cleaner deletes their shuffle files now and not at
+    the next collection of garbage, which a driver with little to do may not see for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def utf8(texts) -> list[bytes]:

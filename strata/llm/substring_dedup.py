@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.shared import cut, shared_dir, small_batches, table
+from strata.llm.shared import cut, cut_at, forget, release, shared_dir, small_batches, table
 
 WINDOW, SEED = 13, 4
 FANOUT = 4
@@ -97,8 +97,7 @@ class WindowIndex:
         self.append(merged)
         self.runs = self.runs[-1:]
         for p in old:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            forget(self.spark, p)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -224,23 +223,29 @@ def dedup_batch(batch: DataFrame, index: WindowIndex, history: DataFrame | None
         met = seeds.select("seed").join(past.select("seed").hint("merge"), "seed", "left_semi")
         shared = shared.union(met)
     bits = spark.sparkContext.broadcast(bloom(shared))  # BLOOM_BITS, at any size
+    release(spark)
     every = batch if history is None or past is None else _texts(history).union(_texts(batch))
-    found = cut(candidates(every, bits, window), "windows")
+    found, path = cut_at(candidates(every, bits, window), "windows")
     first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     repeated = found.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("hashes"))
+    repeated = cut(repeated, "repeated")
+    forget(spark, path)
+    bits.unpersist()
+    del found, first
+    release(spark)
     index.runs += own.runs
     index.compact()
     return kept_words(batch, repeated, window, with_text)
 
 
-def dedup(docs: DataFrame, batches: int = 2, window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """dedup_batch over documents in so many batches, by ranges of doc_id."""
+def dedup(docs: DataFrame, shares: tuple[float, ...] = (0.75, 0.25), window: int = WINDOW, with_text: bool = False) -> DataFrame:
+    """dedup_batch over documents in batches by ranges of doc_id, each of a share of the range."""
     index = WindowIndex(docs.sparkSession)
     low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).collect()[0]
     if low is None:
         return dedup_batch(docs, index, None, window, with_text)
     out, doc = None, F.col("doc_id").cast("long")
-    ends = [low + (high - low + 1) * k // batches for k in range(batches + 1)]
+    ends = [low + int((high - low + 1) * sum(shares[:k])) for k in range(len(shares))] + [high + 1]
     for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
         mine = (doc >= a) & (doc < b)
         part = dedup_batch(docs.where(mine | doc.isNull() if not k else mine), index, docs.where(doc < a), window, with_text)

@@ -27,12 +27,12 @@ def rows(frame):
     return Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in frame.collect())
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_documents(spark, odd, batches):
+@pytest.mark.parametrize("shares", [(1.0,), (0.5, 0.3, 0.2)])
+def test_documents(spark, odd, shares):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     for frame in (odd, docs):
         want = plain([(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()])
-        assert rows(s.dedup(frame, batches)) == want
+        assert rows(s.dedup(frame, shares)) == want
     assert any(n for _, _, n, _ in want)
 
 
@@ -48,8 +48,8 @@ def test_random_passages_and_compaction(spark, monkeypatch):
             parts += text[at : at + n] + [f"own{k}"]
         docs.append((random.randrange(60), " ".join(parts)))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    assert rows(s.dedup(frame, 5)) == plain(docs)
-    assert rows(s.dedup(frame, 2, window=5)) == plain(docs, 5)
+    assert rows(s.dedup(frame, (0.2,) * 5)) == plain(docs)
+    assert rows(s.dedup(frame, (0.5, 0.5), window=5)) == plain(docs, 5)
 
 
 def test_empty(spark, empty):
