@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -42,20 +43,28 @@ class Hashes(dict):
 
 
 def _rolled(h: np.ndarray, words: int, by: int) -> np.ndarray:
-    n = len(h) - words + 1
-    total = np.zeros(max(n, 0), dtype=np.uint64)
-    for k in range(words if n > 0 else 0):
-        total *= np.uint64(by)
-        total += h[k : k + n]
-    total ^= total >> np.uint64(31)
-    total *= np.uint64(0xD6E8FEB86659FD93)
-    return total ^ (total >> np.uint64(32))
-
-
-def windows(texts: list[list[bytes]], known: Hashes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts given as words: the number of the text of each window, its seed, and its two hashes."""
+    """A hash of each run of so many words, put together from runs of 1, 2, 4, ... words."""
+    total, have, power, step = None, 0, h, 1
+    by = np.uint64(by)
+    with np.errstate(over="ignore"):
+        while True:
+            if words & step:
+                total = power if total is None else total[: len(h) - have - step + 1] * by**step + power[have : len(h) - step + 1]
+                have += step
+            if have == words:
+                break
+            power = power[:-step] * by**step + power[step:]
+            step *= 2
+        total = total[: len(h) - words + 1].copy()
+        total ^= total >> np.uint64(31)
+        total *= np.uint64(0xD6E8FEB86659FD93)
+        return total ^ (total >> np.uint64(32))
+
+
+def windows(texts: list[list[bytes]], known: Hashes, window: int = WINDOW, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts given as words: the number of the text of each window, its seed, and, if hashed, its two hashes."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    h = np.array([known[w] for t in texts for w in t], dtype=np.uint64)
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.uint64, int(lengths.sum()))
     n = len(h) - window + 1
     if n < 1:
         return np.zeros(0, dtype=np.int64), *(np.zeros(0, dtype=np.uint64) for _ in range(3))
@@ -66,7 +75,8 @@ def windows(texts: list[list[bytes]], known: Hashes, window: int = WINDOW) -> tu
     least = seeds[:n].copy()
     for k in range(1, window - min(SEED, window) + 1):
         np.minimum(least, seeds[k : k + n], out=least)
-    return text[whole], least[whole], _rolled(h, window, 0xC2B2AE3D27D4EB4F)[whole], _rolled(h, window, 0x165667B19E3779F9)[whole]
+    both = [_rolled(h, window, by)[whole] for by in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)] if hashed else [least[:0]] * 2
+    return text[whole], least[whole], *both
 
 
 def bloom_places(seeds: np.ndarray) -> list[np.ndarray]:
@@ -115,7 +125,7 @@ def seeds_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         known = Hashes()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            text, seed, _, _ = windows([t.split() for t in utf8(batch.column(1))], known, window)
+            text, seed, _, _ = windows([t.split() for t in utf8(batch.column(1))], known, window, hashed=False)
             if len(text):
                 new = np.r_[True, (seed[1:] != seed[:-1]) | (text[1:] != text[:-1])]  # neighbours mostly share a seed
                 yield pa.RecordBatch.from_arrays([pa.array(seed[new].view(np.int64)), pa.array(ids[text[new]])], names=["seed", "doc_id"])
@@ -230,7 +240,7 @@ def dedup_batch(batch: DataFrame, index: WindowIndex, history: DataFrame | None
     repeated = found.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("hashes"))
     repeated = cut(repeated, "repeated")
     forget(spark, path)
-    bits.unpersist()
+    bits.destroy()
     del found, first
     release(spark)
     index.runs += own.runs
