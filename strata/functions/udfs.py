@@ -1,0 +1,45 @@
+"""Python functions, for what built-in ones can't say: Arrow batches, never single rows in a hot path."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+@F.udf("string")
+def mask_phone_py(phone):
+    """The row-wise form of columns.mask_phone, for comparison."""
+    return None if phone is None else f"{phone[:3]}****{phone[-2:]}" if len(phone) >= 7 else "****"
+
+
+def score_partitions(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """Scores batch by batch with a model that a task loads once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        yield from map(model, batches)
+
+    return df.mapInPandas(run, schema)
+
+
+def apply_per_group(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """fn over each group, which must fit in a task."""
+    return df.groupBy(*keys).applyInPandas(fn, schema)
+
+
+@F.pandas_udf("double")
+def weighted_mean(value: pd.Series, weight: pd.Series) -> float:
+    """An aggregate over a group."""
+    total = weight.sum()
+    return float((value * weight).sum() / total) if total else None
+
+
+@F.udtf(returnType="word: string, place: int")
+class Words:
+    """A table function: the words of a text with their places."""
+
+    def eval(self, text: str):
+        yield from ((w, k) for k, w in enumerate((text or "").split()))
