@@ -43,8 +43,18 @@ def token_counts(docs: DataFrame, split: Callable[[bytes], list[bytes]]) -> Data
 
 
 def head(values: DataFrame, order: str, names: list[str]) -> dict[bytes, tuple]:
-    """The values of the most frequent tokens."""
-    rows = values.where(F.length("token") <= HEAD_TOKEN_BYTES).orderBy(F.desc(order), "token").limit(HEAD).select("token", *names).toPandas()
+    """The values of the most frequent tokens: of all those above a frequency that HEAD tokens at most exceed, so that
+    no more than these ever reach the driver."""
+    short = values.where(F.length("token") <= HEAD_TOKEN_BYTES).withColumn("_bin", F.floor(F.log2(F.col(order)) * 16).cast("int"))
+    left, least = HEAD, None
+    for r in short.groupBy("_bin").agg(F.count("*").alias("k")).orderBy(F.desc("_bin")).collect():  # 1,024 rows at most
+        left -= r["k"]
+        if left < 0:
+            break
+        least = r["_bin"]
+    if least is None:
+        return {}
+    rows = short.where(F.col("_bin") >= least).select("token", *names).toPandas()
     return dict(zip(map(bytes, rows["token"]), zip(*(rows[c] for c in names), strict=True), strict=True))
 
 
