@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -100,10 +101,10 @@ def train(weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, rows: np.ndar
             weights[own] -= (STEP / np.sqrt(seen[own] + 1.0))[:, None] * total
 
 
-def joined(texts: list[bytes], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-    parts = [[codes[w] for w in tokens_of(t)] for t in texts]
-    lengths = np.array([len(p) for p in parts], dtype=np.int64)
-    return np.array([x for p in parts for x in p], dtype=np.int64), lengths
+def joined(texts: list[list[bytes]], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all tokens of these texts in turn, and how many each text has."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    return np.fromiter(map(codes.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum())), lengths
 
 
 def fit(docs: DataFrame, own: dict[bytes, int], bias: np.ndarray) -> np.ndarray:
@@ -123,7 +124,7 @@ def fit(docs: DataFrame, own: dict[bytes, int], bias: np.ndarray) -> np.ndarray:
 
             mine, seen, codes, n = start.value.copy(), np.zeros(KINDS * BUCKETS, dtype=np.float32), Codes(own), 0
             for batch in batches:
-                texts = [t for t in utf8(batch.column(0))]
+                texts = [tokens_of(t) for t in utf8(batch.column(0))]
                 if texts:
                     found, lengths = joined(texts, codes)
                     train(mine, bias, seen, *features(found, lengths))
@@ -194,7 +195,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
 
         def of(texts: list[bytes]) -> Iterator:
             for at in range(0, len(texts), 50):
-                part = texts[at : at + 50]
+                part = [tokens_of(t) for t in texts[at : at + 50]]
                 found, lengths = joined(part, codes)
                 rows, classes = features(found, lengths)
                 got = np.empty(len(rows))
@@ -203,7 +204,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                     got[i : i + MINIBATCH] = p[np.arange(len(p)), classes[i : i + MINIBATCH]]
                 of_text = np.add.reduceat(got, np.r_[0, np.cumsum(lengths)[:-1]]) / np.log(10)
                 for t, m, s in zip(part, lengths.tolist(), of_text.tolist(), strict=True):
-                    yield tokens_of(t), (float(m), s)
+                    yield t, (float(m), s)
 
         return of
 
