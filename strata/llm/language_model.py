@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.shared import cut, small_batches, table
@@ -46,6 +46,12 @@ def class_of(token: bytes, own: dict[bytes, int]) -> int:
     return OWN + zlib.crc32(token[-3:]) % (CLASSES - OWN) if found is None else found
 
 
+def class_column(own: dict[bytes, int]) -> Column:
+    """class_of() for the column `token`."""
+    others = OWN + F.pmod(F.crc32(F.substring("token", -3, 3)), F.lit(CLASSES - OWN))
+    return F.coalesce(*(F.when(F.col("token") == F.lit(w), F.lit(c)) for w, c in own.items()), others).cast("int")
+
+
 class Codes(dict):
     """A word's hash and class in one number, worked out when it is first met."""
 
@@ -77,28 +83,47 @@ def features(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return rows, (codes & 63).astype(np.int64)
 
 
-def log_odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log-probabilities of all classes."""
-    z = weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + bias
+def odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The logarithms of all classes' probabilities, but for a number that is the same for all classes; 0 at most."""
+    z = weights.take(rows[:, 0], axis=0)
+    z += weights.take(rows[:, 1], axis=0)
+    z += weights.take(rows[:, 2], axis=0)
+    z += bias
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def log_odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log-probabilities of all classes."""
+    z = odds(weights, bias, rows)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Of each token's own class."""
+    z = odds(weights, bias, rows)
+    own = z[np.arange(len(z)), classes]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
 def train(weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """Gradient steps over minibatches, in place. seen: the sum of squared steps of each row."""
     for at in range(0, len(rows), MINIBATCH):
         r, c = rows[at : at + MINIBATCH], classes[at : at + MINIBATCH]
-        g = np.exp(log_odds(weights, bias, r))
+        g = odds(weights, bias, r)
+        np.exp(g, out=g)
+        g /= g.sum(axis=1, keepdims=True)
         g[np.arange(len(c)), c] -= 1
         for k in range(KINDS):
-            order = np.argsort(r[:, k], kind="stable")
-            own = r[order, k]
+            own = r[:, k].astype(np.uint16)  # sorts by digits
+            order = np.argsort(own, kind="stable")
+            own = own[order].astype(np.int64)
             firsts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            total = np.add.reduceat(g[order], firsts, axis=0)
+            total = np.add.reduceat(g.take(order, axis=0), firsts, axis=0)
             own = own[firsts]
-            seen[own] += (total * total).sum(axis=1)
-            weights[own] -= (STEP / np.sqrt(seen[own] + 1.0))[:, None] * total
+            seen[own] += np.einsum("ij,ij->i", total, total)
+            total *= (STEP / np.sqrt(seen[own] + 1.0))[:, None]
+            weights[own] -= total
 
 
 def joined(texts: list[list[bytes]], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
@@ -168,13 +193,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     top = [bytes(r["token"]) for r in counts.where(F.length("token") <= 64).orderBy(F.desc("n"), "token").limit(OWN).collect()]
     own = {END: 0} | {w: i + 1 for i, w in enumerate([w for w in top if w != END][: OWN - 1])}
 
-    def with_class(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([class_of(t, own) for t in batch.column(0).to_pylist()], pa.int32())], names=["token", "n", "class"])
-
-    counts = cut(counts.mapInArrow(with_class, "token binary, n long, class int"), "classes")
+    counts = counts.withColumn("class", class_column(own))
     of_class = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     n, v = (sum(x[i] for x in of_class.values()) for i in (0, 1))
     z = n + 0.5 * (v + 1)
@@ -182,13 +201,10 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     mass = [(lambda a, b: a + 0.5 * (b + 1))(*of_class.get(c, (0, 0))) for c in range(CLASSES)]
     bias = np.log(np.array([of_class.get(c, (0, 0))[0] + 0.5 for c in range(CLASSES)]) / (n + 0.5 * CLASSES)).astype(np.float32)
     weights = spark.sparkContext.broadcast(fit(training, own, bias))
-    in_class = F.when(F.col("class") < OWN, 0.0).otherwise(F.log10((F.col("n") + 0.5) / F.element_at(F.array(*map(F.lit, mass)), F.col("class") + 1)))
-    values = counts.select("token", "n", F.log10((F.col("n") + 0.5) / F.lit(z)).alias("base_score"), in_class.alias("in_class"), F.lit(1.0).alias("n_known"))
-    unknown = np.log10(0.5 / z)
-
-    def absent(token: bytes) -> tuple:
-        c = class_of(token, own)
-        return unknown, 0.0 if c < OWN else float(np.log10(0.5 / mass[c])), 0.0
+    # within its class a frequent word has a probability of 1
+    in_class = lambda n, c: F.when(c < OWN, 0.0).otherwise(F.log10((n + 0.5) / F.element_at(F.array(*map(F.lit, mass)), c + 1)))
+    values = counts.select("token", "n", F.log10((F.col("n") + 0.5) / F.lit(z)).alias("base_score"), in_class(F.col("n"), F.col("class")).alias("in_class"), F.lit(1.0).alias("n_known"))
+    absent = {"base_score": F.lit(float(np.log10(0.5 / z))), "in_class": in_class(F.lit(0), class_column(own))}
 
     def start() -> Callable:
         codes = Codes(own)
@@ -200,8 +216,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 rows, classes = features(found, lengths)
                 got = np.empty(len(rows))
                 for i in range(0, len(rows), MINIBATCH):
-                    p = log_odds(weights.value, bias, rows[i : i + MINIBATCH])
-                    got[i : i + MINIBATCH] = p[np.arange(len(p)), classes[i : i + MINIBATCH]]
+                    got[i : i + MINIBATCH] = log_probabilities(weights.value, bias, rows[i : i + MINIBATCH], classes[i : i + MINIBATCH])
                 of_text = np.add.reduceat(got, np.r_[0, np.cumsum(lengths)[:-1]]) / np.log(10)
                 for t, m, s in zip(part, lengths.tolist(), of_text.tolist(), strict=True):
                     yield t, (float(m), s)

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAD, HEAD_TOKEN_BYTES = 200_000, 64
@@ -58,18 +59,17 @@ def head(values: DataFrame, order: str, names: list[str]) -> dict[bytes, tuple]:
     return dict(zip(map(bytes, rows["token"]), zip(*(rows[c] for c in names), strict=True), strict=True))
 
 
-def sums(docs: DataFrame, start: Callable[[], Callable], values: DataFrame, order: str, names: list[str], extra: list[str], absent: Callable[[bytes], tuple] | None = None) -> DataFrame:
+def sums(docs: DataFrame, start: Callable[[], Callable], values: DataFrame, order: str, names: list[str], extra: list[str], absent: dict[str, Column] | None = None) -> DataFrame:
     """For each row of docs: doc_id, `extra`, and the sum over its tokens of each column in `names` of `values`.
 
     start() runs once in a task and returns a function from a list of texts to, for each of them, its tokens and the
-    numbers of `extra`. absent(token) gives the values of a token that isn't in the table. Every row of docs counts
-    by itself, whatever its doc_id.
+    numbers of `extra`. A token that isn't in the table has the values of `absent`, expressions over
+    the column `token`, or else zero. Every row of docs counts by itself, whatever its doc_id.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(head(values, order, names))
     k = len(names)
     doubles = [f"_s{i}" for i in range(k)]
-    alts = [f"_a{i}" for i in range(k)]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -80,30 +80,34 @@ def sums(docs: DataFrame, start: Callable[[], Callable], values: DataFrame, orde
 
         of = start()
         place = {w: i for i, w in enumerate(known.value)}
-        each = np.array(list(known.value.values()), dtype=np.float64).reshape(-1, k)
+        # the last row is for tokens without a place, which have -1
+        each = np.array([*known.value.values(), (0.0,) * k], dtype=np.float64)
         task, row = TaskContext.get().partitionId() << 33, 0
+        columns = ["_row", "doc_id", *extra, *doubles, "token", "_n"]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-            columns: list[list] = [[] for _ in range(2 + len(extra) + k + 2 + k)]
-            for doc, (tokens, numbers) in zip(ids, of(texts), strict=True):
-                rest: Counter = Counter()
-                at = np.fromiter([place.get(w, -1) for w in tokens], np.int64, len(tokens))
-                if (far := np.flatnonzero(at < 0)).size:
-                    rest.update(map(tokens.__getitem__, far.tolist()))
-                sure = [x.sum() for x in each[at[at >= 0]].T] if len(each) else [0.0] * k
-                key = task + row
-                row += 1
-                # the first row of a document has what is known; no token begins with a zero byte and this number
-                for token, n in [(b"\x00row%d" % key, 0), *rest.items()]:
-                    alt = absent(token) if absent and n else (0.0,) * k
-                    whole = (key, doc, *numbers, *sure) if not n else (key, None, *(None for _ in extra), *(0.0 for _ in range(k)))
-                    for column, x in zip(columns, (*whole, token, n, *alt), strict=True):
-                        column.append(x)
-            kinds = [pa.int64(), pa.int64(), *[pa.float64()] * (len(extra) + k), pa.binary(), pa.int64(), *[pa.float64()] * k]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["_row", "doc_id", *extra, *doubles, "token", "_n", *alts])
-
-    kinds = ", ".join(["_row long", "doc_id long", *(f"{c} double" for c in [*extra, *doubles]), "token binary", "_n long", *(f"{c} double" for c in alts)])
+            texts = utf8(batch.column(1))
+            numbers, sure, rest, tokens_n, many = [], [], [], [], []
+            for tokens, more in of(texts):
+                at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
+                far = Counter(map(tokens.__getitem__, np.flatnonzero(at < 0).tolist()))
+                numbers.append(more)
+                sure.append(each[at].sum(axis=0))
+                rest.extend(far)
+                tokens_n.extend(far.values())
+                many.append(len(far))
+            rows = np.arange(task + row, task + row + len(texts))
+            row += len(texts)
+            # of each document a row with what is known, whose token no text has, and one for each token that is left
+            first = [*np.array(numbers, dtype=np.float64).reshape(-1, len(extra)).T, *np.array(sure).reshape(-1, k).T]
+            marks = [b"\x00row%d" % x for x in rows.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), *map(pa.array, first), pa.array(marks, pa.binary()), pa.array(np.zeros(len(rows), dtype=np.int64))], names=columns)
+            if rest:
+                none = [pa.nulls(len(rest), pa.float64())] * len(extra) + [pa.array(np.zeros(len(rest)))] * k
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, many)), pa.nulls(len(rest), pa.int64()), *none, pa.array(rest, pa.binary()), pa.array(tokens_n, pa.int64())], names=columns)
+
+    kinds = ", ".join(["_row long", "doc_id long", *(f"{c} double" for c in [*extra, *doubles]), "token binary", "_n long"])
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kinds)
     met = rows.join(values.select("token", *(F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names))), "token", "left")
-    total = [F.sum(F.col(f"_s{i}") + F.col("_n") * F.coalesce(F.col(f"_v{i}"), F.col(f"_a{i}"))).alias(c) for i, c in enumerate(names)]
+    other = lambda c: (absent or {}).get(c, F.lit(0.0))
+    total = [F.sum(F.col(f"_s{i}") + F.col("_n") * F.coalesce(F.col(f"_v{i}"), other(c))).alias(c) for i, c in enumerate(names)]
     return met.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), *(F.max(c).alias(c) for c in extra), *total).drop("_row")

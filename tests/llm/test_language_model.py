@@ -45,3 +45,10 @@ def test_probabilities_sum_to_one():
     assert np.allclose(np.exp(lm.log_odds(weights, np.zeros(lm.CLASSES, dtype=np.float32), rows)).sum(axis=1), 1, atol=1e-5)
     assert rows[0].tolist() == rows[3].tolist()  # either begins a document
     assert F is not None and classes.max() < lm.CLASSES
+
+
+def test_classes_of_a_column(spark):
+    own = {lm.END: 0, b"the": 1}
+    words = [lm.END, b"the", b"a", b"ab", b"abc", b"abcd", "\u00e9t\u00e9".encode(), b"x" * 500]
+    got = spark.createDataFrame([(bytearray(w),) for w in words], "token binary").select("token", lm.class_column(own).alias("c")).collect()
+    assert {bytes(r.token): r.c for r in got} == {w: lm.class_of(w, own) for w in words}
