@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def mask_phone_py(phone):
     """The row-wise form of columns.mask_phone, for comparison."""
     return None if phone is None else f"{phone[:3]}****{phone[-2:]}" if len(phone) >= 7 else "****"
@@ -30,14 +32,22 @@ def apply_per_group(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame],
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def weighted_mean(value: pd.Series, weight: pd.Series) -> float:
     """An aggregate over a group."""
     total = weight.sum()
     return float((value * weight).sum() / total) if total else None
 
 
-@F.udtf(returnType="word: string, place: int")
+@F.pandas_udf(T.DoubleType())
+def haversine_km(lat: pd.Series, lon: pd.Series, lat0: pd.Series, lon0: pd.Series) -> pd.Series:
+    """Great-circle distance of points in degrees; null where a coordinate is."""
+    a, b, c, d = (np.radians(x.astype("float64")) for x in (lat, lon, lat0, lon0))
+    h = np.sin((a - c) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((b - d) / 2) ** 2
+    return 2 * 6371.0088 * np.arcsin(np.sqrt(h.clip(0, 1)))
+
+
+@F.udtf(returnType=T.StructType([T.StructField("word", T.StringType()), T.StructField("place", T.IntegerType())]))
 class Words:
     """A table function: the words of a text with their places."""
 
