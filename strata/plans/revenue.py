@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.operators import aggregates, joins, windows
@@ -157,8 +157,35 @@ def g15_price_outliers(spark, d):
     return windows.zscore_outliers(part.select("p_partkey", "p_brand", "p_retailprice"), "p_brand", "p_retailprice", 1.6).select("p_partkey", F.round("z", 6).alias("z"))
 
 
+def category_day(items: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
+    """Revenue of each brand and day, its change from the brand's last day with sales, the mean of 7 days, and the
+    day's rank within the brand."""
+    o = orders.select("o_orderkey", F.to_date("o_orderdate").alias("order_date"))
+    j = items.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    days = j.groupBy("p_brand", "order_date").agg(money(net()).alias("revenue"))
+    out = windows.rolling_days(windows.period_change(days, ["p_brand"], "order_date", "revenue"), ["p_brand"], "order_date", 7, F.avg("revenue"), "avg_7d")
+    place = F.rank().over(Window.partitionBy("p_brand").orderBy(F.desc("revenue")))
+    return out.select("p_brand", "order_date", "revenue", F.round("change", 2).alias("change"), F.round("avg_7d", 4).alias("avg_7d"), place.alias("place"))
+
+
+def g9_category_day(spark, d):
+    return category_day(*read(spark, d, "lineitem", "orders", "part"))
+
+
+def seller_service(items: DataFrame, orders: DataFrame, days: int = 60) -> DataFrame:
+    """Of each seller and day of order: the share of items that were shipped more than `days` later, and their mean
+    discount, in place of a score."""
+    o = orders.select("o_orderkey", F.to_date("o_orderdate").alias("order_date"))
+    late = F.when(F.datediff("l_shipdate", "order_date") > days, 1).otherwise(0)
+    return items.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", "order_date").agg(F.count("*").alias("n_items"), F.round(F.avg(late), 6).alias("late_rate"), F.round(F.avg("l_discount"), 6).alias("mean_discount"))
+
+
+def g5_seller_service(spark, d):
+    return seller_service(*read(spark, d, "lineitem", "orders"))
+
+
 _NET = "CAST(l_extendedprice AS DECIMAL(15, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))"
-QUERIES = {f.__name__: f for f in (g1_daily_revenue, g2_seller_daily, g3_seller_moving_average, g4_monthly_revenue, g6_rfm, g7_seller_rank, g8_lifetime_share, g10_revenue_levels, g15_price_outliers, g16_weekly_trend, a1_pricing_summary, a9_cube, a10_priority_pivot, a13_busy_customers, a15_salted_sets, a16_count_of_counts, w4_latest_order, w7_top_parts, w9_forward_fill, w10_rolling_rows, w12_purchase_gaps, w15_global_rank)}
+QUERIES = {f.__name__: f for f in (g1_daily_revenue, g2_seller_daily, g3_seller_moving_average, g4_monthly_revenue, g5_seller_service, g6_rfm, g7_seller_rank, g8_lifetime_share, g9_category_day, g10_revenue_levels, g15_price_outliers, g16_weekly_trend, a1_pricing_summary, a9_cube, a10_priority_pivot, a13_busy_customers, a15_salted_sets, a16_count_of_counts, w4_latest_order, w7_top_parts, w9_forward_fill, w10_rolling_rows, w12_purchase_gaps, w15_global_rank)}
 ORACLE_SQL = {
     "g1_daily_revenue": f"SELECT CAST(o_orderdate AS DATE) AS order_date, count(DISTINCT o_orderkey) AS n_orders, CAST(round(sum({_NET}), 2) AS DOUBLE) AS revenue, round(CAST(sum({_NET}) AS DOUBLE) / count(DISTINCT o_orderkey), 4) AS avg_ticket FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1",
     "g2_seller_daily": f"SELECT l_suppkey, CAST(o_orderdate AS DATE) AS order_date, CAST(round(sum({_NET}), 2) AS DOUBLE) AS revenue, round(sum(l_tax), 4) AS tax, count(*) AS n_items, count(DISTINCT l_orderkey) AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",
@@ -167,6 +194,8 @@ ORACLE_SQL = {
     "g6_rfm": "WITH b AS (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS l, count(*) AS frequency, round(sum(o_totalprice), 2) AS monetary FROM orders GROUP BY 1) SELECT o_custkey, date_diff('day', l, (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)) AS recency, frequency, monetary, CAST(floor((row_number() OVER (ORDER BY monetary DESC, o_custkey) - 1) * 5 / count(*) OVER ()) + 1 AS INTEGER) AS monetary_fifth FROM b",
     "g7_seller_rank": f"WITH r AS (SELECT l_suppkey, CAST(round(sum({_NET}), 2) AS DOUBLE) AS revenue FROM lineitem GROUP BY 1) SELECT s_nationkey, l_suppkey, revenue, row_number() OVER (PARTITION BY s_nationkey ORDER BY revenue DESC, l_suppkey) AS row_number, rank() OVER (PARTITION BY s_nationkey ORDER BY revenue DESC) AS rank, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY revenue DESC) AS dense_rank FROM r JOIN supplier ON l_suppkey = s_suppkey",
     "g8_lifetime_share": "WITH s AS (SELECT o_custkey, o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS s, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS t FROM orders) SELECT o_custkey, o_orderkey, round(s, 2) AS so_far, round(s / t, 6) AS share FROM s",
+    "g5_seller_service": "SELECT l_suppkey, CAST(o_orderdate AS DATE) AS order_date, count(*) AS n_items, round(avg(CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) > 60 THEN 1 ELSE 0 END), 6) AS late_rate, round(avg(l_discount), 6) AS mean_discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",
+    "g9_category_day": f"WITH d AS (SELECT p_brand, CAST(o_orderdate AS DATE) AS order_date, CAST(round(sum({_NET}), 2) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT p_brand, order_date, revenue, round(revenue - lag(revenue) OVER (PARTITION BY p_brand ORDER BY order_date), 2) AS change, round(avg(revenue) OVER (PARTITION BY p_brand ORDER BY order_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 4) AS avg_7d, rank() OVER (PARTITION BY p_brand ORDER BY revenue DESC) AS place FROM d",
     "g10_revenue_levels": f"SELECT r_name, n_name, CAST(grouping(r_name, n_name) AS BIGINT) AS level, CAST(round(sum({_NET}), 2) AS DOUBLE) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
     "g15_price_outliers": "WITH s AS (SELECT p_partkey, (p_retailprice - avg(p_retailprice) OVER w) / nullif(stddev_samp(p_retailprice) OVER w, 0) AS z FROM part WINDOW w AS (PARTITION BY p_brand)) SELECT p_partkey, round(z, 6) AS z FROM s WHERE abs(z) > 1.6",
     "g16_weekly_trend": "WITH w AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS week, round(sum(o_totalprice), 2) AS revenue FROM orders GROUP BY 1) SELECT week, revenue, lag(revenue) OVER (ORDER BY week) AS previous, round(revenue - lag(revenue) OVER (ORDER BY week), 2) AS change FROM w",
