@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.plans import layers, revenue, streams, tables
+from strata.plans import layers, marts, revenue, stream_jobs, streams, tables
 
-MODULES = [revenue, tables, streams, layers]
+MODULES = [revenue, marts, tables, streams, stream_jobs, layers]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}

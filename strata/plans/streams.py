@@ -20,7 +20,7 @@ def _run(df: DataFrame, mode: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/strata-stream-{uuid.uuid4().hex}"
     # in complete mode each batch holds the whole result, so the last one replaces the others
-    sink = st.table_sink(f"{at}/out") if mode == "append" else lambda b, n: b.write.mode("overwrite").parquet(f"{at}/out")
+    sink = st.table_sink(f"{at}/out") if mode != "complete" else lambda b, n: b.write.mode("overwrite").parquet(f"{at}/out")
     st.run_available(df, sink, f"{at}/checkpoint", mode)
     return spark.read.parquet(f"{at}/out")
 

@@ -100,7 +100,7 @@ def sessionize(df: DataFrame, user: str, ts: str, gap_seconds: int) -> DataFrame
             out.append((key[0], first, last, n, True))
             state.remove()
         else:
-            times = sorted(int(t.timestamp() * 1_000_000) for f in frames for t in f[ts])
+            times = sorted(t for f in frames for t in f["_at"].tolist())
             now = list(state.get) if state.exists else None
             for t in times:
                 if now is None or t - now[1] > gap_seconds * 1_000_000:
@@ -118,10 +118,11 @@ def sessionize(df: DataFrame, user: str, ts: str, gap_seconds: int) -> DataFrame
                     state.remove() if state.exists else None
         rows = pd.DataFrame(out, columns=["user_id", "session_start", "session_end", "n_events", "is_final"])
         for c in ("session_start", "session_end"):
-            rows[c] = pd.to_datetime(rows[c], unit="us")
+            rows[c] = pd.to_datetime(rows[c], unit="us", utc=True)
         yield rows
 
-    return df.groupBy(user).applyInPandasWithState(step, SESSION, "first long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    # pandas would see the session's wall clock, which the watermark knows nothing of
+    return df.withColumn("_at", F.unix_micros(ts)).groupBy(user).applyInPandasWithState(step, SESSION, "first long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:

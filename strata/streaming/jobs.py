@@ -18,10 +18,6 @@ from strata.sources import versions
 from strata.streaming import events as st
 
 
-def _micros(t: pd.Timestamp) -> int:
-    return int(t.timestamp() * 1_000_000)
-
-
 def session_paths(df: DataFrame, user: str, ts: str, kind: str, page: str, kinds: list[str], gap_seconds: int, drafts: bool = False) -> DataFrame:
     """Sessions of a stream with a watermark: how many events of each kind, and the pages in turn.
 
@@ -42,7 +38,7 @@ def session_paths(df: DataFrame, user: str, ts: str, kind: str, page: str, kinds
             give(now, True)
             state.remove()
         else:
-            rows = sorted(((_micros(t), k, p) for f in frames for t, k, p in zip(f[ts], f[kind], f[page], strict=True)), key=lambda r: (r[0], str(r[1]), str(r[2])))
+            rows = sorted(((t, k, p) for f in frames for t, k, p in zip(f["_at"].tolist(), f[kind], f[page], strict=True)), key=lambda r: (r[0], str(r[1]), str(r[2])))
             for t, k, p in rows:
                 if now is not None and t - now["last"] > gap_seconds * 1_000_000:
                     give(now, True)
@@ -63,11 +59,12 @@ def session_paths(df: DataFrame, user: str, ts: str, kind: str, page: str, kinds
                     state.remove()
         got = pd.DataFrame(out, columns=names)
         for c in ("session_start", "session_end"):
-            got[c] = pd.to_datetime(got[c], unit="us")
+            got[c] = pd.to_datetime(got[c], unit="us", utc=True)
         yield got
 
     mode = "update" if drafts else "append"
-    return df.groupBy(user).applyInPandasWithState(step, schema, "open string", mode, GroupStateTimeout.EventTimeTimeout)
+    # pandas would see the session's wall clock, which the watermark knows nothing of
+    return df.withColumn("_at", F.unix_micros(ts)).groupBy(user).applyInPandasWithState(step, schema, "open string", mode, GroupStateTimeout.EventTimeTimeout)
 
 
 HISTORY = "user_id long, event_id long, ts timestamp, amount double, n_recent long, moved boolean, mean_before double"
@@ -85,7 +82,7 @@ def track_history(df: DataFrame, user: str, event: str, ts: str, amount: str, pl
             state.remove()
         else:
             past = json.loads(state.get[0]) if state.exists else []
-            rows = sorted((_micros(t), e, a, p) for f in frames for t, e, a, p in zip(f[ts], f[event].tolist(), f[amount].tolist(), f[place].fillna("").tolist(), strict=True))
+            rows = sorted((t, e, a, p) for f in frames for t, e, a, p in zip(f["_at"].tolist(), f[event].tolist(), f[amount].tolist(), f[place].fillna("").tolist(), strict=True))
             for t, e, a, p in rows:
                 past = [x for x in past if t - x[0] <= hours * 3_600_000_000]
                 recent = 1 + sum(t - x[0] <= 600_000_000 for x in past)
@@ -95,11 +92,12 @@ def track_history(df: DataFrame, user: str, event: str, ts: str, amount: str, pl
             state.update((json.dumps(past),))
             state.setTimeoutTimestamp(max(past[-1][0] // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
         got = pd.DataFrame(out, columns=["user_id", "event_id", "ts", "amount", "n_recent", "moved", "mean_before"])
-        got["ts"] = pd.to_datetime(got["ts"], unit="us")
+        got["ts"] = pd.to_datetime(got["ts"], unit="us", utc=True)
         got["mean_before"] = got["mean_before"].astype("float64")
         yield got
 
-    return df.groupBy(user).applyInPandasWithState(step, HISTORY, "past string", "append", GroupStateTimeout.EventTimeTimeout)
+    # pandas would see the session's wall clock, which the watermark knows nothing of
+    return df.withColumn("_at", F.unix_micros(ts)).groupBy(user).applyInPandasWithState(step, HISTORY, "past string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def behaviour_rules() -> dict[str, tuple[Column, int]]:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from strata import inspection
 from strata.functions import udfs
 from strata.operators import changes
-from strata.plans import layers
+from strata.plans import layers, marts
 from strata.sources import versions
 from strata.streaming import events as st
 from strata.streaming import jobs
@@ -39,6 +39,33 @@ def test_session_paths_and_drafts(spark, tmp_path):
         assert spark.read.parquet(out).where("NOT is_final").isEmpty() != drafts
 
 
+def test_sessions_in_another_time_zone(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        day = 1_700_000_000
+        rows = [[(1, day, "view"), (1, day + 60, "click"), (2, day + 7000, "view")], [(3, day + 7300, "view")]]
+        src = str(tmp_path / "s")
+        for part in rows:
+            spark.createDataFrame(part, "user long, at long, kind string").withColumn("ts", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(src)
+        stream = st.with_event_time(st.read_stream(spark, src, spark.read.parquet(src).schema), "ts", "1 minute")
+        found = {"paths": jobs.session_paths(stream, "user", "ts", "kind", "kind", ["view"], 1800), "plain": st.sessionize(stream, "user", "ts", 1800)}
+        for name, df in found.items():
+            st.run_available(df, st.table_sink(str(tmp_path / name)), str(tmp_path / f"c{name}"))
+            got = spark.read.parquet(str(tmp_path / name)).select("user_id", F.unix_seconds("session_start").alias("a"), F.unix_seconds("session_end").alias("b"), "n_events")
+            assert [tuple(r) for r in got.collect()] == [(1, day, day + 60, 2)], name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_profiles_of_nulls(spark):
+    rows = [(1, at(0), None, 5.0), (1, at(1), None, 5.0), (1, at(2), "x", None), (2, at(0), None, None), (None, at(0), "y", 100.0)]
+    df = spark.createDataFrame(rows, "u long, ts timestamp, place string, amount double")
+    got = {r.u: (r.home, r.mean_amount, r.risk_tier) for r in marts.build_profiles(df, "u", "ts", "place", "amount", "2024-01-02").collect()}
+    assert got == {1: ("x", 5.0, "low"), 2: (None, None, "low"), None: ("y", 100.0, "high")}
+    assert marts.build_profiles(df.limit(0), "u", "ts", "place", "amount", "2024-01-02").isEmpty()
+
+
 def test_history_and_alerts(spark, tmp_path):
     rows = [(1, k, at(60 * k), 10.0, "x") for k in range(5)] + [(1, 5, at(400), 1000.0, "y"), (2, 6, at(0), 5.0, None)]
     src, root = str(tmp_path / "s"), str(tmp_path / "r")
