@@ -18,8 +18,8 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    copies = simhash.near_duplicates(docs).where(F.col("doc_id") != F.col("group")).select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id", "text"]).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    copies = simhash.near_duplicates(docs).where("NOT first").select("doc_id", "text_hash").distinct()
+    return docs.dropDuplicates(["doc_id", "text"]).withColumn("text_hash", simhash.text_hash()).join(copies, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
 
 
 def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

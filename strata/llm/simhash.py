@@ -8,10 +8,11 @@ radius; such boundary fingerprints go both ways. So each pair of near fingerprin
 the shards, a task links what is near within one, dividing it further by the same rule, and components over all shards give the
 groups. A shard hands on a link from each fingerprint to one of its group there, not all pairs.
 
-near_duplicates() is for texts of five-word shingles that share SIMILARITY or more of them. One fingerprint of such
-texts differs in ten bits or so, where a tree prunes nothing; so several short fingerprints over word pairs each have
-a tree, nearly all similar texts are within RADIUS in one of them, and a wide fingerprint over the five-word
-shingles then decides.
+near_duplicates() is for texts of five-word shingles that share SIMILARITY or more of them. One fingerprint by majority
+of such texts differs in ten bits or so of 64, where a tree prunes nothing. So its fingerprints have a bit each of the
+least of the shingles under many orders, which differs in (1 - similarity) / 2 of the bits wherever the texts differ;
+several short ones have a tree each, and nearly all similar texts are within RADIUS in one of them. More of these bits
+drop what is far, and the shingles themselves then decide.
 """
 
 from __future__ import annotations
@@ -31,9 +32,13 @@ SEED = 42
 SAMPLE, SHARD = 16_384, 512
 #: A shard is divided until its parts are so small.
 BLOCK = 512
-#: near_duplicates: trees, bits of a tree's fingerprint, words of its shingles; bits of the wide one; distance of links.
-TREES, TREE_BITS, TREE_WORDS, WIDE_BITS, RADIUS = 8, 32, 2, 256, 2
+#: near_duplicates: trees and bits of a tree's fingerprint, those of the wide one (the first trees' together); distance of
+#: links. Of texts at a similarity of 0.8, 0.367 are within 2 of 32 bits, and 0.996 so in one of 12 trees.
+TREES, TREE_BITS, WIDE_BITS, RADIUS = 12, 32, 256, 2
 SHINGLE, SIMILARITY = 5, 0.8
+#: Pairs that share one copy of a text's shingles when they are compared.
+HOT = 256
+_ORDERS = np.random.default_rng(SEED).integers(0, 2**63, TREES * TREE_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(16)], dtype=np.uint64)
 
 
@@ -65,6 +70,14 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def least_bits(hashes: np.ndarray) -> np.ndarray:
+    """A bit of the least hash under each of the orders, as TREES numbers of TREE_BITS."""
+    least = np.full(len(_ORDERS), 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[None, at : at + 1024] * _ORDERS[:, None]).min(axis=1), out=least)
+    return np.packbits((mixed(least, 1) >> np.uint64(40)).astype(np.uint8) & 1, bitorder="little").view("<u4")
+
+
 class Tree:
     """Vantage points over fingerprints of 64 bits or fewer. nodes: (point, radius, inner, outer), or None for a shard."""
 
@@ -138,11 +151,9 @@ class Groups:
             self.root = to[self.root]
 
 
-def link_shard(points: np.ndarray, near: int, wide: np.ndarray | None = None, wide_near: int = 0) -> np.ndarray:
-    """For each fingerprint of a shard, one of its group: groups are of fingerprints within `near`, and whose wide
-    ones are within wide_near."""
-    groups, rng = Groups(len(points)), np.random.default_rng(SEED)
-    todo = [np.arange(len(points))]
+def blocks(points: np.ndarray, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of fingerprints of a shard, block by block, so that all within `near` meet."""
+    rng, todo = np.random.default_rng(SEED), [np.arange(len(points))]
     while todo:
         idx = todo.pop()
         if len(idx) < 2:
@@ -156,25 +167,53 @@ def link_shard(points: np.ndarray, near: int, wide: np.ndarray | None = None, wi
                 continue
         for i in range(0, len(idx), BLOCK):
             for j in range(i, len(idx), BLOCK):
-                x, y = idx[i : i + BLOCK], idx[j : j + BLOCK]
-                a, b = np.nonzero(np.bitwise_count(points[x][:, None] ^ points[y][None, :]) <= near)
-                a, b = x[a], y[b]
-                new = groups.root[a] != groups.root[b]
-                a, b = a[new], b[new]
-                if wide is not None and len(a):
-                    close = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= wide_near
-                    a, b = a[close], b[close]
-                if len(a):
-                    groups.join(a, b)
+                yield idx[i : i + BLOCK], idx[j : j + BLOCK]
+
+
+def link_shard(points: np.ndarray, near: int) -> np.ndarray:
+    """For each fingerprint of a shard, one of its group: groups are of fingerprints within `near`."""
+    groups = Groups(len(points))
+    for x, y in blocks(points, near):
+        a, b = np.nonzero(np.bitwise_count(points[x][:, None] ^ points[y][None, :]) <= near)
+        a, b = x[a], y[b]
+        new = groups.root[a] != groups.root[b]
+        if new.any():
+            groups.join(a[new], b[new])
     return groups.root
 
 
-def links(points: DataFrame, near: int, wide_near: int = 0) -> DataFrame:
-    """points: id (long), prints (binary: fingerprints of eight bytes, the greatest first, one a tree), wide (binary, may be empty).
-
-    Returns a and b: ids that are linked directly or through others of a shard; every link between two ids is one
-    of these or follows from several.
-    """
+def shard_pairs(points: np.ndarray, near: int, wide: np.ndarray, wide_near: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a shard within `near` whose wide fingerprints are within wide_near: with labels, all whose labels differ;
+    without, of each fingerprint the one with the nearest wide fingerprint."""
+    n, out = len(points), []
+    best, to = np.full(n, wide_near + 1), np.zeros(n, dtype=np.int64)
+    for x, y in blocks(points, near):
+        a, b = np.nonzero(np.bitwise_count(points[x][:, None] ^ points[y][None, :]) <= near)
+        a, b = x[a], y[b]
+        go = a != b if label is None else label[a] != label[b]
+        a, b = a[go], b[go]
+        d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
+        a, b, d = a[d <= wide_near], b[d <= wide_near], d[d <= wide_near]
+        if label is not None:
+            out.append((np.minimum(a, b), np.maximum(a, b)))
+            continue
+        for p, q in ((a, b), (b, a)):
+            order = np.lexsort((d, p))
+            p, q, e = p[order], q[order], d[order]
+            first = np.r_[True, p[1:] != p[:-1]][: len(p)]
+            p, q, e = p[first], q[first], e[first]
+            less = e < best[p]
+            best[p[less]], to[p[less]] = e[less], q[less]
+    if label is None:
+        a = np.flatnonzero(best <= wide_near)
+        return a, to[a]
+    pairs = np.unique(np.concatenate([a * n + b for a, b in out])) if out else np.zeros(0, dtype=np.int64)
+    return pairs // n, pairs % n
+
+
+def routed(points: DataFrame, near: int) -> DataFrame:
+    """points: id (long), prints (binary: fingerprints of eight bytes, the greatest first, one a tree), wide (binary, may be
+    empty). Returns shard, id, print and wide: each point in all shards that it goes to."""
     spark = points.sparkSession
     n = points.count()
     sample = spread_sample(points, "id", SAMPLE, n).select("prints").toPandas()["prints"]
@@ -194,17 +233,40 @@ def links(points: DataFrame, near: int, wide_near: int = 0) -> DataFrame:
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(shards + k * 1_000_000), ids.take(take), pa.array(all_prints[rows, k].astype("<u8").view(np.int64)), wide.take(take)], names=["shard", "id", "print", "wide"])
 
+    return points.select("id", "prints", "wide").mapInArrow(route, "shard long, id long, print long, wide binary")
+
+
+def links(points: DataFrame, near: int) -> DataFrame:
+    """points as routed() takes them. Returns a and b: ids that are linked directly or through others of a shard; every
+    link between two ids is one of these or follows from several."""
+
     def link(t):
         import pyarrow as pa
 
         ids, prints = t.column("id").to_numpy(), t.column("print").to_numpy().view(np.uint64)
-        raw = b"".join(t.column("wide").to_pylist())
-        root = link_shard(prints, near, np.frombuffer(raw, dtype="<u8").reshape(len(ids), -1) if raw else None, wide_near)
+        root = link_shard(prints, near)
         far = root != np.arange(len(ids))
         return pa.table({"a": ids[far], "b": ids[root[far]]})
 
-    routed = points.select("id", "prints", "wide").mapInArrow(route, "shard long, id long, print long, wide binary")
-    return routed.groupBy("shard").applyInArrow(link, "a long, b long")
+    return routed(points, near).groupBy("shard").applyInArrow(link, "a long, b long")
+
+
+def candidates(points: DataFrame, near: int, wide_near: int) -> DataFrame:
+    """points as routed() takes them, and label (long) where only pairs of different labels are wanted, all of them;
+    else there is the nearest of each point in each shard. Returns a < b."""
+    labelled = "label" in points.columns
+    if labelled:
+        points = points.withColumn("wide", F.concat(F.unhex(F.lpad(F.hex("label"), 16, "0")), "wide"))
+
+    def pair(t):
+        import pyarrow as pa
+
+        ids, prints = t.column("id").to_numpy(), t.column("print").to_numpy().view(np.uint64)
+        wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), dtype="<u8").reshape(len(ids), -1)
+        a, b = shard_pairs(prints, near, wide[:, 1:], wide_near, wide[:, 0]) if labelled else shard_pairs(prints, near, wide, wide_near)
+        return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+
+    return routed(points, near).groupBy("shard").applyInArrow(pair, "a long, b long").distinct()
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -245,14 +307,14 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_distance(similarity: float, bits: int = WIDE_BITS) -> int:
-    """Differing bits of wide fingerprints up to which texts count as similar: what shingle sets of that Jaccard
-    similarity differ by, and one and a half standard deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
+    """Differing bits of wide fingerprints up to which texts are compared: what shingle sets of that Jaccard similarity
+    differ by, and three standard deviations."""
+    p = (1 - similarity) / 2
+    return round(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
 
 
 def signatures(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, key (of the text's words in lower case), prints and wide of every row with words."""
+    """doc_id, text_hash, key (of the text's words in lower case), prints and wide of every row with words."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -262,34 +324,89 @@ def signatures(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                pairs, long = np.unique(shingle_hashes(text, TREE_WORDS)), np.unique(shingle_hashes(text, words))
-                if not len(pairs):
+            for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+                hashes = shingle_hashes(text, words)
+                if not len(hashes):
                     continue
-                each = [majority(mixed(pairs, k)) for k in range((TREES * TREE_BITS + 63) // 64)]
-                short = np.array(each, dtype="<u8").view("<u4")[:TREES].astype(">u8")
-                wide = np.array([majority(mixed(long, k)) for k in range(WIDE_BITS // 64)], dtype="<u8")
-                rows.append((doc, xxhash.xxh3_128_digest(b" ".join(text.lower().split())), short.tobytes(), wide.tobytes()))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["doc_id", "key", "prints", "wide"])
+                bits = least_bits(hashes)
+                rows.append((doc, text_hash, xxhash.xxh3_128_digest(b" ".join(text.lower().split())), bits.astype(">u8").tobytes(), bits[: WIDE_BITS // TREE_BITS].tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["doc_id", "text_hash", "key", "prints", "wide"])
+
+    return docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_hash long, key binary, prints binary, wide binary")
+
+
+def text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """id and set (binary: the sorted hashes of the text's shingles). nodes: id, doc_id and text_hash of its text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from strata.llm.shared import utf8
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in utf8(batch.column(1))], pa.binary())], names=["id", "set"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
+    # rows that are the same in id and text are one node
+    return texts.join(nodes, ["doc_id", "text_hash"]).select("id", "text").dropDuplicates(["id"]).mapInArrow(run, "id long, set binary")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have that Jaccard similarity or more."""
+    # a text in many pairs has a copy of its set for every HOT of them
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    parts = ends.groupBy("id").agg(F.ceil(F.count("*") / HOT).alias("parts"))
+    salted = sets.join(parts, "id").select("id", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("salt"), "set")
+    hot = parts.where("parts > 1")
+    for end, other in (("a", "b"), ("b", "a")):
+        pairs = pairs.join(hot.select(F.col("id").alias(end), "parts"), end, "left").withColumn(f"salt_{end}", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    for end in ("a", "b"):
+        pairs = pairs.join(salted.select(F.col("id").alias(end), F.col("salt").alias(f"salt_{end}"), F.col("set").alias(f"set_{end}")), [end, f"salt_{end}"])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key binary, prints binary, wide binary")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Groups the rows of docs (doc_id, text) whose texts are the same words, or share `similarity` or more of their
-    shingles by their wide fingerprints.
+    shingles: every link is of two texts whose sets of shingles were compared.
 
-    Returns doc_id and group (the smallest doc_id of the group) of every row that has words and a doc_id. Texts
-    without words are no copies of each other.
+    Returns doc_id, text_hash, group (the smallest doc_id of the group) and first (this row's id and text stand for
+    the group) of every row that has words and a doc_id. Texts without words are no copies of each other.
     """
     small_batches(docs.sparkSession)
-    found = cut(signatures(docs.where("doc_id IS NOT NULL"), words), "signatures")
+    docs = docs.where("doc_id IS NOT NULL")
+    found = cut(signatures(docs, words), "signatures").withColumn("id", F.xxhash64("key"))
     # copies, however many, are one point
-    points = cut(found.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("prints").alias("prints"), F.first("wide").alias("wide")), "points")
-    roots = components(links(points, RADIUS, wide_distance(similarity)))
-    group = points.join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("group"))
-    return found.select("doc_id", "key").join(group, "key").select("doc_id", "group")
+    points = cut(found.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("prints").alias("prints"), F.first("wide").alias("wide")), "points")
+    # the nearest of each point are compared first; of what they don't link, all pairs
+    limit = wide_distance(similarity)
+    pairs = cut(candidates(points, RADIUS, limit), "pairs")
+    met = cut(points.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), "met")
+    sets = cut(shingle_sets(docs, met.select("id", "at.*"), words), "sets")
+    sure = cut(alike(pairs, sets, similarity), "links")
+    labelled = met.join(components(sure).withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rest = cut(candidates(cut(labelled, "labelled"), RADIUS, limit).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    roots = components(sure.union(alike(rest, sets, similarity)))
+    root = points.join(roots, "id", "left").select("id", "at", F.coalesce("root", "id").alias("root"))
+    first = root.groupBy("root").agg(F.min("at").alias("first"))
+    group = cut(root.join(first, "root").select("id", "first"), "groups")
+    return found.select("doc_id", "text_hash", "id").join(group, "id").select("doc_id", "text_hash", F.col("first.doc_id").alias("group"), (F.col("first") == F.struct("doc_id", "text_hash")).alias("first"))
 
 
 QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}

@@ -94,3 +94,34 @@ def test_near_duplicates(spark, odd, empty):
     assert sum(got[i] == of[i] for i in sure) >= 0.97 * len(sure)
     assert {r.doc_id: r.group for r in simhash.near_duplicates(odd).collect()} == {1: 1, 5: 1, 7: 7, 8: 8, 9: 9}
     assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_passages_added_and_replaced(spark):
+    rng, docs, pairs = random.Random(3), [], []
+    for k in range(240):
+        j = (0.81, 0.85, 0.9)[k % 3]
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        n = round(396 * (1 - j) / j) if k % 2 else round(396 * (1 - j) / (1 + j))
+        new = [f"v{rng.randrange(5000)}" for _ in range(n)]
+        other = base + new if k % 2 else base[:100] + new[4:] + base[100 + n - 4 :]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        s, t = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, other))
+        pairs.append((2 * k, len(s & t) / len(s | t)))
+    got = {r.doc_id: r.group for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sure = [a for a, j in pairs if j >= 0.8]
+    assert len(sure) > 230 and sum(got[a] == got[a + 1] for a in sure) >= 0.98 * len(sure)
+
+
+def test_nothing_below_the_similarity(spark):
+    rng, docs = random.Random(5), []
+    for k in range(100):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + [f"v{rng.randrange(5000)}" for _ in range(125)]))]
+    got = {r.doc_id: r.group for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in docs}  # 0.76
+
+
+def test_rows_of_one_id(spark):
+    rows = [(3, "one two three four five six"), (5, "One two three four five six"), (5, "something else that stands alone here"), (5, "something ELSE that stands alone here")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.group, r.first) for r in got) == [(3, 3, True), (5, 3, False), (5, 5, False), (5, 5, True)]
