@@ -1,10 +1,10 @@
 """Personal data: patterns, and terms that give a person away; DataFrame operations only.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Besides, the corpus shows which words give a
-protected entity (one such address or number) away: if a word stands near an entity in at least SUPPORT different
-surroundings, and the entity's share of all documents with the word, P(entity | word), is DISCLOSURE or more, whoever
-reads the word can tell the entity, and the word is a finding too (kind "term") wherever it stands in a document
-with that entity.
+protected entity (one such address or number) away. Of the distinct texts with a word, P(entity | word) is the share of
+those in which it stands near the entity. What the word tells of the entity is log(P(entity | word) / P(entity)), in
+shares of all there is to tell, log(1 / P(entity)); k different surroundings are believed by k / (k + 1). Words with
+a share of DISCLOSURE or more that tell INFORMED or more are findings too (kind "term"), wherever they stand.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Words on either side of an entity that count as near it, different surroundings that make a term, share that discloses.
-NEAR, SUPPORT, DISCLOSURE = 8, 3, 0.5
-TERM_CHARS = 4
+#: Words on either side of an entity that count as near it, share of texts and share of what there is to tell that disclose.
+NEAR, DISCLOSURE, INFORMED = 8, 0.5, 0.6
 WORD = r"[^\x20\x09-\x0D]+"
 
 SPANS = "array<struct<kind: string, first: int, last: int, found: string>>"
@@ -95,22 +94,33 @@ def _entity(s: Column) -> Column:
     return F.concat(s["kind"], F.lit(":"), F.when(s["kind"].isin("card", "phone"), _digits(s["found"])).otherwise(F.lower(s["found"])))
 
 
+def _words(text: Column) -> Column:
+    """The different plain words of a text."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))), _plain))
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """entity and term, of the terms that disclose. docs: text; found: text and spans of the documents with spans.
 
-    Surroundings are counted once however often they are copied. The documents that hold a term are all those of docs.
+    Texts are counted once however often they are copied, and so are surroundings. The texts that hold a term are all
+    those of docs.
     """
+    as_text = F.xxhash64("text").alias("of")
     spans = found.select("text", F.explode("spans").alias("s")).where(F.col("s.kind") != "term")
     before = F.slice(F.reverse(F.regexp_extract_all(F.substr("text", F.greatest(F.col("s.first") - 40 * NEAR, F.lit(0)) + 1, F.least(F.col("s.first"), F.lit(40 * NEAR))), F.lit(WORD), F.lit(0))), 1, NEAR)
     after = F.slice(F.regexp_extract_all(F.substr("text", F.col("s.last") + 1, F.lit(40 * NEAR)), F.lit(WORD), F.lit(0)), 1, NEAR)
-    near = spans.select(_entity(F.col("s")).alias("entity"), F.array_distinct(F.transform(F.concat(before, after), _plain)).alias("words"))
-    # a set of surroundings is one row; a hot entity's surroundings meet only per term
-    near = near.select("entity", "words", F.xxhash64("words").alias("around")).dropDuplicates(["entity", "around"])
-    pairs = near.select("entity", "around", F.explode("words").alias("term")).where((F.length("term") >= TERM_CHARS) & ~F.col("term").rlike(r"^[\p{N}.:-]*$|@"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
-    every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    every = every.select(_plain(F.col("w")).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n"))
-    return pairs.join(every, "term").where(F.col("both") >= DISCLOSURE * F.col("n")).select("entity", "term")
+    near = spans.select(_entity(F.col("s")).alias("entity"), as_text, F.array_distinct(F.transform(F.concat(before, after), _plain)).alias("words"))
+    near = cut(near.withColumn("around", F.xxhash64("words")).dropDuplicates(["entity", "of", "around"]), "near")
+    # a hot entity's surroundings meet only per term
+    pairs = near.select("entity", "of", "around", F.explode("words").alias("term")).where(~F.col("term").rlike(r"^[\p{N}.:-]*$|@"))
+    pairs = cut(pairs.groupBy("entity", "term").agg(F.count_distinct("of").alias("both"), F.count_distinct("around").alias("k")).where(F.col("k") / (F.col("k") + 1) >= INFORMED), "pairs")
+    terms = cut(pairs.select("term").distinct(), "words")
+    every = docs.select(as_text, F.explode(_words(F.col("text"))).alias("term")).join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    texts = docs.select(as_text).distinct().count()
+    of_entity = near.groupBy("entity").agg(F.count_distinct("of").alias("texts"))
+    share, own = F.col("both") / F.col("n"), F.col("texts") / F.lit(max(texts, 1))
+    told = F.when(own < 1, F.log(share / own) / F.log(1 / own) * F.col("k") / (F.col("k") + 1)).otherwise(0.0)
+    return pairs.join(every, "term").join(of_entity, "entity").where((share >= DISCLOSURE) & (told >= INFORMED)).select("entity", "term")
 
 
 def find(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -125,10 +135,13 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     key = [F.xxhash64("doc_id", "text").alias("_a"), F.hash("text", "doc_id").alias("_b")]
     found = cut(docs.select(*key, "doc_id", "text", F.coalesce(base_spans(F.col("text")), F.array().cast(SPANS)).alias("spans")).where(F.size("spans") > 0), "entities")
     terms = cut(disclosing_terms(docs, found), "terms")
-    own = found.select("_a", "_b", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).join(terms, "entity").groupBy("_a", "_b").agg(F.collect_set("term").alias("terms"))
+    own = docs.select(*key, F.explode(_words(F.col("text"))).alias("term")).join(terms.select("term").distinct(), "term").groupBy("_a", "_b").agg(F.collect_set("term").alias("terms"))
     placed = F.filter(_placed(F.col("text"), WORD), lambda s: F.array_contains(F.col("terms"), _plain(s["found"])) & ~F.exists("spans", lambda b: (b["first"] < s["last"]) & (s["first"] < b["last"])))
-    more = found.join(own, ["_a", "_b"]).select("_a", "_b", F.concat("spans", _named("term", placed)).alias("all"))
-    spans = found.select("_a", "_b", "spans").dropDuplicates(["_a", "_b"]).join(more.dropDuplicates(["_a", "_b"]), ["_a", "_b"], "left").select("_a", "_b", F.coalesce("all", "spans").alias("spans"))
+    none = F.array().cast(SPANS)
+    base = found.select("_a", "_b", "spans").dropDuplicates(["_a", "_b"])
+    held = docs.select(*key, "text").join(own, ["_a", "_b"]).dropDuplicates(["_a", "_b"]).join(base, ["_a", "_b"], "left").withColumn("spans", F.coalesce("spans", none))
+    more = held.select("_a", "_b", F.concat("spans", _named("term", placed)).alias("all"))
+    spans = base.join(more, ["_a", "_b"], "full").select("_a", "_b", F.coalesce("all", "spans").alias("spans"))
     return docs.select(*key, "doc_id", "text", *keep).join(spans, ["_a", "_b"], "left").select("doc_id", "text", *keep, F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 

@@ -61,3 +61,25 @@ def test_terms_and_redaction(spark):
 def test_copies_are_one_surrounding(spark):
     docs = [(k, "same words with Zanzibar and bob@x.org again") for k in range(9)]
     assert not any(s.kind == "term" for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect() for s in r.spans)
+
+
+def terms(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, s.found) for r in pii.find(frame).collect() for s in r.spans if s.kind == "term"}
+
+
+OTHERS = [f"other text {k} of no account" for k in range(60)]
+
+
+def test_share_is_of_distinct_texts(spark):
+    near = [f"a{k} b{k} Zanzibar bob@x.org c{k}" for k in range(3)]
+    assert terms(spark, near + near[:1] * 9 + OTHERS) == {(k, "Zanzibar") for k in range(12)}  # copies hide nothing
+    once = " ".join(["Zanzibar bob@x.org" + "".join(f" w{k}{j}" for j in range(20)) for k in range(3)])
+    assert not terms(spark, [once] + [f"Zanzibar again {k}" for k in range(5)] + OTHERS)  # 1 of 6 texts
+
+
+def test_terms_of_two_surroundings_in_every_document(spark):
+    texts = ["a1 b1 Li bob@x.org c1", "a2 b2 Li bob@x.org c2", "c3 Li, elsewhere"]
+    assert terms(spark, texts[:2] + OTHERS) == {(0, "Li"), (1, "Li")}
+    near = [f"a{k} b{k} Li bob@x.org c{k}" for k in range(6)]
+    assert (6, "Li,") in terms(spark, [*near, texts[2], *OTHERS])
