@@ -51,7 +51,9 @@ def forget(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Has the driver notice which frames are gone, so that Spark's cleaner deletes their shuffle files now and not at
-    the next collection of garbage, which a driver with little to do may not see for half an hour."""
+    the next collection of garbage, which a driver with little to do may not see for half an hour. Spark holds on to the
+    last query that it ran until it runs another one."""
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark._jvm.System.gc()
 
@@ -63,6 +65,11 @@ def utf8(texts) -> list[bytes]:
     return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
 
 
+def kept_columns(keep: tuple[str, ...], results: tuple[str, ...]) -> tuple[str, ...]:
+    """The columns to keep, without those that a result of the same name replaces."""
+    return tuple(c for c in dict.fromkeys(keep) if c not in results)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
