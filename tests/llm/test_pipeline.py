@@ -25,13 +25,15 @@ def test_columns(steps):
     assert all(tuple(out.columns) == p.COLUMNS and out.dtypes == before.dtypes for before, out in steps[:-1])
 
 
-def test_toxic_documents_go(steps):
+def test_toxic_documents_go(spark, steps):
     before, after = (f.collect() for f in steps[0])
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     bad = lambda t: any(w in t.lower() for w in ("idiot", "moron", "worthless"))
     left = {r.doc_id for r in after}
     assert sum(bad(r.text) for r in after) <= 0.1 * sum(bad(r.text) for r in before)
-    clean = [r.doc_id for r in before if not bad(r.text) and "clown" not in r.text.lower()]
-    assert sum(i in left for i in clean) >= 0.97 * len(clean)
+    labelled = [(r.doc_id in left, toxic[r.doc_id]) for r in before if r.doc_id in toxic]
+    assert sum(kept for kept, t in labelled if not t) >= 0.99 * sum(not t for _, t in labelled)
+    assert sum(not kept for kept, t in labelled if t) >= 0.8 * sum(t for _, t in labelled)
 
 
 def test_one_of_each_stays(steps):
