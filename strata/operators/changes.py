@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.columns import hash_diff
+from strata.operators.joins import assert_unique
 from strata.operators.windows import latest_per_key
 
 OPEN_END = "9999-12-31"
@@ -38,8 +39,11 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str]) -> Dat
     return target.join(last.select(*keys), keys, "left_anti").unionByName(last.where("op <> 'd'").select(*target.columns))
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """updates, one row a key, replace or join the target."""
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], check: bool = True) -> DataFrame:
+    """updates, one row a key, replace or join the target; several rows a key are refused, unless the caller knows that
+    there are none."""
+    if check:
+        assert_unique(updates, keys)
     return target.join(updates.select(*keys), keys, "left_anti").unionByName(updates.select(*target.columns))
 
 
@@ -54,8 +58,11 @@ def delete_where(target: DataFrame, condition) -> DataFrame:
 
 
 def scd1_apply(dim: DataFrame, staged: DataFrame, keys: list[str]) -> DataFrame:
-    """Attributes are overwritten; keys that staged lacks stay."""
-    return upsert(dim, staged, keys)
+    """Attributes are overwritten where a hash of them differs; keys that staged lacks stay."""
+    tracked = [c for c in dim.columns if c not in keys]
+    old = dim.select(*keys, hash_diff(*tracked).alias("_old"))
+    fresh = staged.withColumn("_new", hash_diff(*tracked)).join(old, keys, "left").where(~F.col("_new").eqNullSafe(F.col("_old")))
+    return upsert(dim, fresh.select(*dim.columns), keys)
 
 
 def scd2_apply(dim: DataFrame, staged: DataFrame, keys: list[str], tracked: list[str], effective) -> DataFrame:

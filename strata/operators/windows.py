@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.session import cut
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str], ties: list[str] | None = None) -> DataFrame:
     """The last row of each key by the order columns; ties, which should make the order total, settle equal ones.
@@ -65,9 +67,11 @@ def rank_within(df: DataFrame, group: str, value: str, tie: str) -> DataFrame:
 
 def global_rank(df: DataFrame, column: str, tie: str, name: str = "place", n: int | None = None) -> DataFrame:
     """row_number over the whole frame, largest first, without one task for all: rows are dealt out by ranges, ranked
-    within each, and moved by the number of rows in the ranges before."""
+    within each, and moved by the number of rows in the ranges before. Ranges are sampled, so the dealt rows are written
+    once: dealt out anew for the counts, they could fall into other ranges."""
     ranged = df.repartitionByRange(*([n] if n else []), F.desc(column), F.col(tie)).sortWithinPartitions(F.desc(column), tie).withColumn("_part", F.spark_partition_id())
     ranged = ranged.withColumn("_row", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    ranged = cut(ranged, "ranged")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return ranged.join(before, "_part").withColumn(name, F.col("_row") + F.col("_before") + 1).drop("_part", "_row", "_before")

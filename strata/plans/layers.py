@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators import quality
+from strata.operators import quality, windows
 from strata.plans.revenue import _NET, daily_revenue
 from strata.session import shared_dir
 from strata.sources import files, sinks
@@ -32,7 +32,7 @@ def to_silver(spark: SparkSession, root: str) -> None:
     good, bad = quality.split_quarantine(orders, rules)
     month = F.date_format("o_orderdate", "yyyy-MM").alias("month")
     # few large months: files of a bounded number of rows
-    sinks.write_partitioned(good.dropDuplicates(["o_orderkey"]).select("o_orderkey", "o_orderstatus", "o_orderdate", month), f"{root}/silver/orders", ["month"], max_records=5_000_000, overwrite="static")
+    sinks.write_partitioned(windows.latest_per_key(good, ["o_orderkey"], ["o_orderdate"], ["o_orderstatus"]).select("o_orderkey", "o_orderstatus", "o_orderdate", month), f"{root}/silver/orders", ["month"], max_records=5_000_000, overwrite="static")
     sinks.write_table(bad, f"{root}/silver/quarantine", mode="overwrite")
     clean = spark.read.parquet(f"{root}/silver/orders").select("o_orderkey", "month")
     items = spark.read.parquet(f"{root}/bronze/lineitem").select("l_orderkey", "l_extendedprice", "l_discount")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.operators import aggregates, joins, windows
+from strata.session import cut
 
 
 def net() -> Column:
@@ -59,9 +60,12 @@ def g6_rfm(spark, d):
     last = orders.agg(F.max(F.to_date("o_orderdate")).alias("today"))  # one row
     base = orders.groupBy("o_custkey").agg(F.max(F.to_date("o_orderdate")).alias("last_day"), F.count("*").alias("frequency"), F.round(F.sum("o_totalprice"), 2).alias("monetary"))
     base = base.crossJoin(F.broadcast(last)).select("o_custkey", F.datediff("today", "last_day").alias("recency"), "frequency", "monetary")
+    base = cut(base.withColumn("nearness", -F.col("recency")), "rfm")
     n = base.agg(F.count("*").alias("_n"))  # one row
-    ranked = windows.global_rank(base, "monetary", "o_custkey", "place").crossJoin(F.broadcast(n))
-    return ranked.select("o_custkey", "recency", "frequency", "monetary", (F.floor((F.col("place") - 1) * 5 / F.col("_n")) + 1).cast("int").alias("monetary_fifth"))
+    for by in ("monetary", "frequency", "nearness"):
+        base = windows.global_rank(base, by, "o_custkey", f"place_{by}")
+    fifth = lambda by: (F.floor((F.col(f"place_{by}") - 1) * 5 / F.col("_n")) + 1).cast("int")
+    return base.crossJoin(F.broadcast(n)).select("o_custkey", "recency", "frequency", "monetary", fifth("nearness").alias("recency_fifth"), fifth("frequency").alias("frequency_fifth"), fifth("monetary").alias("monetary_fifth"))
 
 
 def g7_seller_rank(spark, d):
@@ -191,7 +195,7 @@ ORACLE_SQL = {
     "g2_seller_daily": f"SELECT l_suppkey, CAST(o_orderdate AS DATE) AS order_date, CAST(round(sum({_NET}), 2) AS DOUBLE) AS revenue, round(sum(l_tax), 4) AS tax, count(*) AS n_items, count(DISTINCT l_orderkey) AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",
     "g3_seller_moving_average": f"WITH d AS (SELECT l_suppkey, CAST(o_orderdate AS DATE) AS order_date, CAST(round(sum({_NET}), 2) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) SELECT *, round(avg(revenue) OVER (PARTITION BY l_suppkey ORDER BY order_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 4) AS avg_7d FROM d",
     "g4_monthly_revenue": "SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS revenue, count(*) AS n_orders FROM orders WHERE o_orderstatus = 'F' GROUP BY 1",
-    "g6_rfm": "WITH b AS (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS l, count(*) AS frequency, round(sum(o_totalprice), 2) AS monetary FROM orders GROUP BY 1) SELECT o_custkey, date_diff('day', l, (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)) AS recency, frequency, monetary, CAST(floor((row_number() OVER (ORDER BY monetary DESC, o_custkey) - 1) * 5 / count(*) OVER ()) + 1 AS INTEGER) AS monetary_fifth FROM b",
+    "g6_rfm": "WITH b AS (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS l, count(*) AS frequency, round(sum(o_totalprice), 2) AS monetary FROM orders GROUP BY 1) SELECT o_custkey, date_diff('day', l, (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)) AS recency, frequency, monetary, " + ", ".join(f"CAST(floor((row_number() OVER (ORDER BY {c} DESC, o_custkey) - 1) * 5 / count(*) OVER ()) + 1 AS INTEGER) AS {n}_fifth" for c, n in (("l", "recency"), ("frequency", "frequency"), ("monetary", "monetary"))) + " FROM b",
     "g7_seller_rank": f"WITH r AS (SELECT l_suppkey, CAST(round(sum({_NET}), 2) AS DOUBLE) AS revenue FROM lineitem GROUP BY 1) SELECT s_nationkey, l_suppkey, revenue, row_number() OVER (PARTITION BY s_nationkey ORDER BY revenue DESC, l_suppkey) AS row_number, rank() OVER (PARTITION BY s_nationkey ORDER BY revenue DESC) AS rank, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY revenue DESC) AS dense_rank FROM r JOIN supplier ON l_suppkey = s_suppkey",
     "g8_lifetime_share": "WITH s AS (SELECT o_custkey, o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS s, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS t FROM orders) SELECT o_custkey, o_orderkey, round(s, 2) AS so_far, round(s / t, 6) AS share FROM s",
     "g5_seller_service": "SELECT l_suppkey, CAST(o_orderdate AS DATE) AS order_date, count(*) AS n_items, round(avg(CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) > 60 THEN 1 ELSE 0 END), 6) AS late_rate, round(avg(l_discount), 6) AS mean_discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PROFILES = {
     "batch": {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.sources.partitionOverwriteMode": "dynamic", "spark.sql.files.maxPartitionBytes": "128m", "spark.sql.files.openCostInBytes": "4m"},
@@ -28,3 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="strata-"))
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: it is computed once, its lineage ends there, and a lost
+    executor loses nothing of it."""
+    path = f"{shared_dir(df.sparkSession)}/strata-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

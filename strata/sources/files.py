@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.session import cut
+
 CORRUPT = "_corrupt_record"
 
 
@@ -55,9 +57,9 @@ def with_lineage(df: DataFrame, run_id: str) -> DataFrame:
 
 
 def read_split(spark: SparkSession, path: str, schema: T.StructType, run_id: str = "", **options) -> tuple[DataFrame, DataFrame, dict[str, int]]:
-    """Good rows, corrupt rows with their text, and counts. The scan is held on disk if need be: a filter on the
-    corrupt column alone can't be answered by the reader. unpersist() the first frame's parent by clearing the cache."""
-    rows = with_lineage(read_csv(spark, path, with_corrupt(schema), **options), run_id).persist()
+    """Good rows, corrupt rows with their text, and counts. The parsed rows are written once, since a filter on the
+    corrupt column alone can't be answered by the reader."""
+    rows = cut(with_lineage(read_csv(spark, path, with_corrupt(schema), **options), run_id), "parsed")
     n = rows.agg(F.count("*").alias("total"), F.count(CORRUPT).alias("corrupt")).collect()[0]
     good, bad = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull())
     return good, bad, {"total": n["total"], "corrupt": n["corrupt"], "good": n["total"] - n["corrupt"]}

@@ -71,11 +71,19 @@ def file_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, to: str, keys: list[str], target_bytes: int, sort_by: list[str] | None = None) -> None:
-    """The same rows in files of about target_bytes, sorted within; written beside the old table."""
-    size = file_stats(spark, path).agg(F.sum("bytes")).collect()[0][0] or 0
+    """The same rows in files of about target_bytes (in each key's folder, if there are keys), sorted within; written
+    beside the old table."""
     df = spark.read.option("basePath", path).parquet(path)
-    n = max(1, -(-size // target_bytes))
-    df = df.repartition(n, *keys, *(sort_by or [])) if not keys else df.repartition(*keys)
+    if keys:
+        # files of a key by its bytes; rows are dealt over them by a hash
+        each = df.select(*keys, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size")).distinct()
+        n = each.groupBy(*keys).agg(F.ceil(F.sum("_size") / target_bytes).cast("int").alias("_files"))
+        salt = F.pmod(F.xxhash64(*df.columns), F.col("_files")).alias("_salt")
+        total = n.agg(F.sum("_files")).collect()[0][0] or 1  # a given number of partitions is not merged at run time
+        df = df.join(n, keys).select(*df.columns, salt).repartition(2 * total, *keys, "_salt").drop("_salt")
+    else:
+        size = file_stats(spark, path).agg(F.sum("bytes")).collect()[0][0] or 0
+        df = df.repartition(max(1, -(-size // target_bytes)), *(sort_by or []))
     df = df.sortWithinPartitions(*keys, *(sort_by or [])) if keys or sort_by else df
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*keys) if keys else writer).parquet(to)

@@ -115,3 +115,66 @@ def test_upsert_sink_replay(spark, tmp_path):
         sink(df, n)
     assert sorted((r.k, r.v) for r in versions.read_version(spark, root).collect()) == [(1, "c"), (2, "d")]
     assert versions.history(spark, root).count() == 2
+
+
+def test_global_rank_over_many_small_ranges(spark):
+    """Ranges are sampled and merged anew for each plan; every row has one place all the same."""
+    names = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16384", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1024"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        df = spark.range(60_000).select("id", (F.xxhash64("id") % 1_000).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("s"))
+        got = windows.global_rank(df, "v", "id").select("id", "v", "place").toPandas().sort_values("place")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got["place"].tolist() == list(range(1, 60_001))
+    assert got[["v", "id"]].values.tolist() == got.sort_values(["v", "id"], ascending=[False, True])[["v", "id"]].values.tolist()
+
+
+def test_compaction_by_key_follows_the_target(spark, tmp_path):
+    path, to = str(tmp_path / "t"), str(tmp_path / "c")
+    df = spark.range(40_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("s"), F.when(F.col("id") < 30_000, 1).otherwise(2).alias("k"))
+    df.repartition(20).write.partitionBy("k").parquet(path)
+    size = sum(r["bytes"] for r in sinks.file_stats(spark, path).collect())
+    sinks.compact(spark, path, to, ["k"], size // 6, ["id"])
+    files_of = {r.k: r.n for r in spark.read.parquet(to).select("k", F.col("_metadata.file_path").alias("f")).distinct().groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert 3 <= files_of[1] <= 6 and 1 <= files_of[2] <= 3
+    assert quality.same_rows(spark.read.parquet(to).select("id", "k"), df.select("id", "k"))
+
+
+def test_upsert_refuses_several_rows_a_key(spark):
+    target, two = (spark.createDataFrame(x, "k int, v string") for x in ([(1, "a")], [(1, "b"), (1, "c")]))
+    with pytest.raises(joins.DuplicateKeys):
+        changes.upsert(target, two, ["k"])
+    stays = changes.scd1_apply(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(1, "a"), (2, "x"), (3, "n")], "k int, v string"), ["k"])
+    assert sorted(map(tuple, stays.collect())) == [(1, "a"), (2, "x"), (3, "n")]
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """Sliding windows over several batches with a watermark: what is late within the delay counts, what is later does not."""
+    src = tmp_path / "in"
+    src.mkdir()
+    batches = [[(1, "2024-01-01 10:00:00"), (2, "2024-01-01 10:20:00")], [(3, "2024-01-01 10:12:00"), (4, "2024-01-01 10:45:00")], [(6, "2024-01-01 11:30:00")], [(5, "2024-01-01 10:01:00")], [(7, "2024-01-01 12:30:00")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "id long, at string").select("id", F.col("at").cast("timestamp").alias("ts")).coalesce(1).write.parquet(str(src / f"b{k}"))
+    import shutil
+
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    import os
+    import time
+
+    for k in range(len(batches)):
+        part = next(p for p in sorted((src / f"b{k}").iterdir()) if p.suffix == ".parquet")
+        shutil.copy(part, flat / f"{k}.parquet")
+        os.utime(flat / f"{k}.parquet", (time.time() - 100 + k, time.time() - 100 + k))
+    stream = st.read_stream(spark, str(flat), spark.read.parquet(str(flat)).schema, files_per_trigger=1)
+    counts = st.windowed(st.with_event_time(stream, "ts", "15 minutes"), "ts", "30 minutes", [], [F.count("*").alias("n")], slide="15 minutes")
+    out = str(tmp_path / "out")
+    st.run_available(counts, st.table_sink(out), str(tmp_path / "ck"), "append")
+    got = {r.start.strftime("%H:%M"): r.n for r in spark.read.parquet(out).select(F.date_format("start", "HH:mm").alias("s"), F.to_timestamp("start").alias("start"), "n").collect()}
+    # 10:12 comes in time; when 10:01 comes, its windows are closed
+    assert sum(got.values()) == 2 * 5
+    assert spark.read.parquet(out).groupBy("start").count().where("count > 1").isEmpty()
