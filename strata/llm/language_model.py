@@ -1,20 +1,24 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The class follows a softmax over weights of hashed features
-of the history: the last word, the last two, the last but one alone (skip), and a bias. A word's class is its own
-for the most frequent words and the end token, or else follows from its last letters, so that unseen words have one.
-Within a class the only feature is the word itself, whose maximum-entropy weights are the logarithms of its counts.
-
-Training: each round, tasks start from the weights of the last round and take gradient steps (Adagrad) over their
-own documents; the changes are averaged block by block in a shuffle, and the next round starts from there. Every
-training document is used once.
+Classes are the leaves of a tree with WIDTH branches a node: P(word | history) is the product of the branches'
+probabilities on the way to the word's leaf, times P(word | leaf). At every node a softmax over weights of hashed features
+decides: the node with the last word; at the root and three levels down with the last two; at the root with the last
+but one alone (skip); and a bias. The most frequent words and the end token have leaves of their own two levels down, the next DEEP_WORDS ones three
+levels down, so that words have features within their classes. The leaf of any other word follows from its last
+letters; within it the weights are logarithms of counts, less a discount that is left to words never seen.
+
+Buckets of features grow with the vocabulary, between LEAST_BUCKETS and MOST_BUCKETS (25 MB of weights in all).
+Training: documents are dealt to shards by a hash, whatever the tasks are; in each round a shard starts from the
+weights of the last round and takes gradient steps (Adagrad) over its documents; the changes are averaged block by block
+in a shuffle. Every training document is used once.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,50 +28,73 @@ from strata.llm.shared import cut, small_batches, table
 from strata.llm.vocabulary import sums, token_counts
 
 END = b"\n"
-CLASSES, OWN = 64, 31
-#: Buckets of each of the three kinds of features.
-BUCKETS = 8192
-KINDS = 3
+WIDTH, LEVELS = 16, 3
+#: The first kinds of features, at each level, of: the last word, the last two, the last but one alone.
+KINDS = (3, 1, 2)
+#: A leaf is numbered by its way, 16 * 16 * 16; below the first DEEP branches of the root are leaves of the third level,
+#: below the others of the second (with 0 as their last branch). The last branch has the leaves that words share.
+LEAVES, DEEP, DEEP_WORDS, SHARED = WIDTH**LEVELS, 8, 8 * WIDTH**2, WIDTH
+FREQUENT = (WIDTH - 1 - DEEP) * WIDTH
+#: Rows of weights for each level and kind of feature: one for so many distinct words, a power of two within bounds.
+WORDS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1024, 4096, 65_536
 #: Rows of weights that are averaged together.
-BLOCK = 512
-STEP, MINIBATCH = 0.3, 4096
-#: Shares of the training documents that each round takes, in eighths.
-ROUNDS = (1, 7)
-KNOWN_WORDS = 500_000
+BLOCK = 2048
+STEP, CHUNK = 0.3, 16_384
+#: Shares of the training documents that each round takes, in eighths; shards of a round at least, and how many times as
+#: large as their change to the weights they are.
+ROUNDS, SHARDS, SHARD_SIZE = (1, 7), 32, 10
+OWN_BYTES, KNOWN_WORDS = 64, 500_000
 
 
 def tokens_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def class_of(token: bytes, own: dict[bytes, int]) -> int:
-    """END is 0; frequent words have the next classes; the others share the rest by their last letters."""
+def own_leaves(frequent: list[bytes]) -> dict[bytes, int]:
+    """Leaves of the end token and of words, the most frequent first."""
+    words = [w for w in frequent if w != END]
+    near, far = [END, *words[: FREQUENT - 1]], words[FREQUENT - 1 : FREQUENT - 1 + DEEP_WORDS]
+    # neighbours in the tree end alike
+    by_end = lambda w: w[::-1]
+    return {w: (DEEP * WIDTH + k) * WIDTH for k, w in enumerate(sorted(near, key=by_end))} | {w: k for k, w in enumerate(sorted(far, key=by_end))}
+
+
+def leaf_of(token: bytes, own: dict[bytes, int]) -> int:
+    """A leaf of its own, or one of the last SHARED ones by the last letters."""
     found = own.get(token)
-    return OWN + zlib.crc32(token[-3:]) % (CLASSES - OWN) if found is None else found
+    return LEAVES - WIDTH * SHARED + WIDTH * (zlib.crc32(token[-3:]) % SHARED) if found is None else found
 
 
-def class_column(own: dict[bytes, int]) -> Column:
-    """class_of() for the column `token`."""
-    others = OWN + F.pmod(F.crc32(F.substring("token", -3, 3)), F.lit(CLASSES - OWN))
-    return F.coalesce(*(F.when(F.col("token") == F.lit(w), F.lit(c)) for w, c in own.items()), others).cast("int")
+def leaf_column() -> Column:
+    """leaf_of() for the column `token` where it has no leaf of its own."""
+    return (F.lit(LEAVES - WIDTH * SHARED) + F.lit(WIDTH) * F.pmod(F.crc32(F.substring("token", -3, 3)), F.lit(SHARED))).cast("int")
 
 
 class Codes(dict):
-    """A word's hash and class in one number, worked out when it is first met."""
+    """A word's hash and leaf in one number, worked out when it is first met."""
 
     def __init__(self, own: dict[bytes, int]):
         self.own = own
 
     def __missing__(self, word: bytes) -> int:
-        code = (zlib.crc32(word) << 6) | class_of(word, self.own)
+        leaf = self.own.get(word)
+        if leaf is None:  # as leaf_of(), without a call
+            leaf = LEAVES - WIDTH * SHARED + WIDTH * (zlib.crc32(word[-3:]) % SHARED)
+        code = (zlib.crc32(word) << 12) | leaf
         if len(self) < KNOWN_WORDS:
             self[word] = code
         return code
 
 
+def joined(texts: list[list[bytes]], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all tokens of these texts in turn, and how many each text has."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    return np.fromiter(map(codes.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum())), lengths
+
+
 def features(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the tokens of documents that follow one another: rows of weights (n x KINDS), and classes."""
-    hashes = (codes >> 6).astype(np.uint64) + np.uint64(1)
+    """For the tokens of documents that follow one another: a number for each kind of feature (kinds x n), and leaves."""
+    hashes = (codes >> 12).astype(np.uint64) + np.uint64(1)
     n = len(codes)
     first = np.zeros(n, dtype=bool)
     first[np.cumsum(lengths)[:-1]] = True
@@ -78,99 +105,126 @@ def features(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     two = np.zeros(n, dtype=np.uint64)
     two[1:] = one[:-1]
     two[first] = 0
-    mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(BUCKETS)
-    rows = np.stack([mix(one), mix(one * np.uint64(31) + two * np.uint64(0xC2B2AE3D27D4EB4F)) + np.uint64(BUCKETS), mix(two) + np.uint64(2 * BUCKETS)], axis=1).astype(np.int64)
-    return rows, (codes & 63).astype(np.int64)
-
-
-def odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The logarithms of all classes' probabilities, but for a number that is the same for all classes; 0 at most."""
-    z = weights.take(rows[:, 0], axis=0)
-    z += weights.take(rows[:, 1], axis=0)
-    z += weights.take(rows[:, 2], axis=0)
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    return z
-
-
-def log_odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log-probabilities of all classes."""
-    z = odds(weights, bias, rows)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Of each token's own class."""
-    z = odds(weights, bias, rows)
-    own = z[np.arange(len(z)), classes]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
-
-
-def train(weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
-    """Gradient steps over minibatches, in place. seen: the sum of squared steps of each row."""
-    for at in range(0, len(rows), MINIBATCH):
-        r, c = rows[at : at + MINIBATCH], classes[at : at + MINIBATCH]
-        g = odds(weights, bias, r)
-        np.exp(g, out=g)
-        g /= g.sum(axis=1, keepdims=True)
-        g[np.arange(len(c)), c] -= 1
-        for k in range(KINDS):
-            own = r[:, k].astype(np.uint16)  # sorts by digits
-            order = np.argsort(own, kind="stable")
-            own = own[order].astype(np.int64)
-            firsts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            total = np.add.reduceat(g.take(order, axis=0), firsts, axis=0)
-            own = own[firsts]
-            seen[own] += np.einsum("ij,ij->i", total, total)
-            total *= (STEP / np.sqrt(seen[own] + 1.0))[:, None]
-            weights[own] -= total
-
-
-def joined(texts: list[list[bytes]], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all tokens of these texts in turn, and how many each text has."""
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    return np.fromiter(map(codes.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum())), lengths
-
-
-def fit(docs: DataFrame, own: dict[bytes, int], bias: np.ndarray) -> np.ndarray:
-    """Weights after all rounds."""
+    with np.errstate(over="ignore"):
+        kinds = np.stack([one, one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(0xC2B2AE3D27D4EB4F), two * np.uint64(31)])
+    return kinds, codes & (LEAVES - 1)
+
+
+def places(kinds: np.ndarray, node: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each feature (kinds x n) at a node."""
+    with np.errstate(over="ignore"):
+        h = (kinds + (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(44) & np.uint64(buckets - 1)).astype(np.int32)
+
+
+class Weights:
+    """Weights of features (level and kind, bucket, branch) and biases of nodes (level, node, branch)."""
+
+    def __init__(self, buckets: int, bias: list[np.ndarray]):
+        self.buckets, self.bias = buckets, bias
+        self.of = np.zeros((sum(KINDS) * buckets, WIDTH), dtype=np.float32)
+
+    def level(self, level: int) -> np.ndarray:
+        """Kinds x buckets x WIDTH."""
+        start = sum(KINDS[:level]) * self.buckets
+        return self.of[start : start + KINDS[level] * self.buckets].reshape(KINDS[level], self.buckets, WIDTH)
+
+    def odds(self, level: int, at: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """exp of the sums of weights for all branches."""
+        w = self.level(level)
+        z = self.bias[level].take(node, axis=0)
+        for k in range(KINDS[level]):
+            z += w[k].take(at[k], axis=0)
+        np.maximum(np.minimum(z, 60, out=z), -60, out=z)
+        return np.exp(z, out=z)
+
+
+def branches(kinds: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Level, numbers of the tokens whose way goes there, their features, node and branch."""
+    for level in range(LEVELS):
+        some = np.flatnonzero(leaf < DEEP * WIDTH**2) if level == 2 else slice(None)
+        to, down = leaf[some], WIDTH ** (LEVELS - level - 1)
+        yield level, some, kinds[: KINDS[level], some], to // (down * WIDTH), to // down % WIDTH
+
+
+def log_probabilities(weights: Weights, kinds: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Of each token's leaf."""
+    total = np.zeros(len(leaf))
+    for level, some, own, node, branch in branches(kinds, leaf):
+        p = weights.odds(level, places(own, node, weights.buckets), node)
+        total[some] += np.log(p[np.arange(len(p)), branch] / (p @ np.ones(WIDTH, dtype=np.float32)))
+    return total
+
+
+def train(weights: Weights, seen: np.ndarray, kinds: np.ndarray, leaf: np.ndarray) -> None:
+    """A gradient step for each chunk of tokens, in place. seen: the sum of squared steps of each row of weights."""
+    total, cells = np.zeros((weights.buckets, WIDTH), dtype=np.float32), np.empty((CHUNK, WIDTH), dtype=np.int64)
+    for start in range(0, len(leaf), CHUNK):
+        for level, _, own, node, branch in branches(kinds[:, start : start + CHUNK], leaf[start : start + CHUNK]):
+            at = places(own, node, weights.buckets)
+            g = weights.odds(level, at, node)
+            g /= (g @ np.ones(WIDTH, dtype=np.float32))[:, None]
+            g[np.arange(len(g)), branch] -= 1
+            w, squares = weights.level(level), seen[level]
+            for k in range(KINDS[level]):
+                # gradients of equal rows are added up
+                cell = np.add((at[k] * WIDTH)[:, None], np.arange(WIDTH), out=cells[: len(g)])
+                np.add.at(total.reshape(-1), cell.reshape(-1), g.reshape(-1))
+                row = np.flatnonzero(np.bincount(at[k], minlength=weights.buckets))
+                step = total[row]
+                total[row] = 0
+                squares[k, row] += np.einsum("ij,ij->i", step, step)
+                step *= (STEP / np.sqrt(squares[k, row] + 1.0))[:, None]
+                w[k][row] -= step
+
+
+def fit(docs: DataFrame, own: dict[bytes, int], weights: Weights, tokens: int) -> None:
+    """Trains the weights in all rounds."""
     spark = docs.sparkSession
-    weights = np.zeros((KINDS * BUCKETS, CLASSES), dtype=np.float32)
+    # a shard's text is SHARD_SIZE times as large as the change that it hands on
+    shards = max(SHARDS, math.ceil(6 * tokens / (SHARD_SIZE * 2 * weights.of.size)))
     eighth = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(8))
+    key = F.xxhash64("doc_id", "text")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     low = 0
     for share in ROUNDS:
-        start = spark.sparkContext.broadcast(weights)  # KINDS * BUCKETS * CLASSES floats: 6 MB
+        start = spark.sparkContext.broadcast(weights)  # MOST_BUCKETS bound it
 
         def run(batches: Iterator, start=start) -> Iterator:
+            import copy
+
             import pyarrow as pa
-            from pyspark import TaskContext
 
             from strata.llm.shared import utf8
 
-            mine, seen, codes, n = start.value.copy(), np.zeros(KINDS * BUCKETS, dtype=np.float32), Codes(own), 0
+            codes, shard = Codes(own), None
+
+            def change() -> pa.RecordBatch:
+                blocks = range(0, len(mine.of), BLOCK)
+                return pa.RecordBatch.from_arrays([pa.array([b // BLOCK for b in blocks]), pa.array([shard // 32] * len(blocks)), pa.array([1] * len(blocks)), pa.array([(mine.of[b : b + BLOCK] - start.value.of[b : b + BLOCK]).astype(np.float16).astype(np.float32).tobytes() for b in blocks], pa.binary())], names=["block", "part", "n", "change"])
+
             for batch in batches:
-                texts = [tokens_of(t) for t in utf8(batch.column(0))]
-                if texts:
-                    found, lengths = joined(texts, codes)
-                    train(mine, bias, seen, *features(found, lengths))
-                    n += len(found)
-            if n:
-                change = (mine - start.value).astype(np.float16)
-                blocks = range(0, len(change), BLOCK)
-                task = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK for b in blocks]), pa.array([task // 32] * len(blocks)), pa.array([1] * len(blocks)), pa.array([change[b : b + BLOCK].astype(np.float32).tobytes() for b in blocks], pa.binary())], names=["block", "part", "n", "change"])
+                of, texts = batch.column(0).to_numpy(), [tokens_of(t) for t in utf8(batch.column(1))]
+                for s in dict.fromkeys(of.tolist()):
+                    if s != shard:
+                        if shard is not None:
+                            yield change()
+                        shard, mine, seen = s, copy.deepcopy(start.value), np.zeros((LEVELS, max(KINDS), start.value.buckets), dtype=np.float32)
+                    train(mine, seen, *features(*joined([texts[k] for k in np.flatnonzero(of == s).tolist()], codes)))
+            if shard is not None:
+                yield change()
 
         part = docs.where((eighth >= low) & (eighth < low + share))
         low += share
-        changes = part.select(F.col("text").cast("string")).mapInArrow(run, "block long, part long, n long, change binary")
-        # up to 32 tasks' changes meet at first, then the sums of those
-        for key in (["block", "part"], ["block"]):
-            changes = changes.groupBy(*key).applyInArrow(_add, "block long, part long, n long, change binary")
+        dealt = part.select(F.pmod(key, F.lit(shards)).alias("shard"), "text", key.alias("key")).repartition("shard").sortWithinPartitions("shard", "key")
+        changes = dealt.select("shard", "text").mapInArrow(run, "block long, part long, n long, change binary")
+        # up to 32 shards' changes meet at first, then the sums of those
+        for keys in (["block", "part"], ["block"]):
+            changes = changes.groupBy(*keys).applyInArrow(_add, "block long, part long, n long, change binary")
         for row in changes.collect():  # as large as the weights
             at = row["block"] * BLOCK
-            weights[at : at + BLOCK] += np.frombuffer(row["change"], dtype=np.float32).reshape(-1, CLASSES) / row["n"]
+            weights.of[at : at + BLOCK] += np.frombuffer(row["change"], dtype=np.float32).reshape(-1, WIDTH) / row["n"]
         start.unpersist()
-    return weights
 
 
 def _add(t):
@@ -180,46 +234,84 @@ def _add(t):
     return pa.table({"block": [t.column("block")[0].as_py()], "part": pa.array([0], pa.int64()), "n": pa.array([n], pa.int64()), "change": pa.array([total.tobytes()], pa.binary())})
 
 
+def biases(of_leaf: np.ndarray) -> list[np.ndarray]:
+    """Of each level and node, the logarithms of the branches' shares by counts of the leaves."""
+    out = []
+    for level in range(LEVELS):
+        n = (of_leaf + 0.05).reshape(WIDTH**level, WIDTH, -1).sum(axis=2)
+        out.append(np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32))
+    return out
+
+
+class Model:
+    """What training gives: counts (token, n, leaf) as a table, the words with their own leaf, of all shared leaves tokens and
+    distinct words, the discount, and the weights."""
+
+    def __init__(self, training: DataFrame):
+        """Learns from all rows of training (doc_id, text)."""
+        counts = cut(token_counts(training, tokens_of), "words")
+        top = [bytes(r["token"]) for r in counts.where(F.length("token") <= OWN_BYTES).orderBy(F.desc("n"), "token").limit(FREQUENT + DEEP_WORDS).collect()]
+        self.own = own_leaves(top)
+        spark = training.sparkSession
+        leaves = spark.createDataFrame([(bytearray(w), k) for w, k in self.own.items()], "token binary, own int")  # some 2,000 rows
+        self.counts = counts.join(F.broadcast(leaves), "token", "left").select("token", "n", F.col("own").isNotNull().alias("alone"), F.coalesce("own", leaf_column()).alias("leaf"))
+        once = lambda k: F.count(F.when((F.col("n") == k) & ~F.col("alone"), 1))
+        rows = self.counts.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("v"), once(1).alias("n1"), once(2).alias("n2")).collect()  # LEAVES at most
+        self.n, self.v = np.zeros(LEAVES, dtype=np.int64), np.zeros(LEAVES, dtype=np.int64)
+        for r in rows:
+            self.n[r["leaf"]], self.v[r["leaf"]] = r["n"], r["v"]
+        n1, n2 = sum(r["n1"] for r in rows), sum(r["n2"] for r in rows)
+        self.discount = min(max(n1 / (n1 + 2 * n2), 0.1), 0.95) if n1 else 0.5
+        buckets = min(max(LEAST_BUCKETS, 1 << math.ceil(math.log2(max(int(self.v.sum()) / WORDS_A_BUCKET, 1)))), MOST_BUCKETS)
+        self.weights = Weights(buckets, biases(self.n))
+        fit(training, self.own, self.weights, int(self.n.sum()))
+
+    def within(self, n: Column, leaf: Column) -> Column:
+        """log10 P(word | leaf) of a word without its own leaf; n null: of a word never seen."""
+        first = LEAVES - WIDTH * SHARED
+        tokens, words = (F.element_at(F.array(*(F.lit(float(x)) for x in v[first::WIDTH])), ((leaf - first) / WIDTH).cast("int") + 1) for v in (self.n, self.v))
+        unseen = F.when(tokens > 0, self.discount * words / tokens).otherwise(1.0)
+        return F.log10(F.when(n.isNull(), unseen).otherwise((n - self.discount) / tokens))
+
+
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """Learns from `training` and scores docs (both: doc_id, text; other columns are ignored).
 
     Returns for each row of docs: doc_id, n_tokens, n_known, train_tokens, base_score (log10 probability of the
-    smoothed unigrams) and score (of the model). A null or empty text is its end token alone. Rows with an equal or
-    null doc_id each get a row. With an empty training table every token is unknown.
+    smoothed unigrams) and score (of the model, for which a word never seen is one outcome of its leaf). A null or empty
+    text is its end token alone. Rows with an equal or null doc_id each get a row. With an empty training table every
+    token is unknown.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    counts = cut(token_counts(training, tokens_of), "words")
-    top = [bytes(r["token"]) for r in counts.where(F.length("token") <= 64).orderBy(F.desc("n"), "token").limit(OWN).collect()]
-    own = {END: 0} | {w: i + 1 for i, w in enumerate([w for w in top if w != END][: OWN - 1])}
-
-    counts = counts.withColumn("class", class_column(own))
-    of_class = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    n, v = (sum(x[i] for x in of_class.values()) for i in (0, 1))
+    model = Model(training)
+    n, v = int(model.n.sum()), int(model.v.sum())
     z = n + 0.5 * (v + 1)
-    # of each class: what its counts add up to. A frequent word is alone in its class.
-    mass = [(lambda a, b: a + 0.5 * (b + 1))(*of_class.get(c, (0, 0))) for c in range(CLASSES)]
-    bias = np.log(np.array([of_class.get(c, (0, 0))[0] + 0.5 for c in range(CLASSES)]) / (n + 0.5 * CLASSES)).astype(np.float32)
-    weights = spark.sparkContext.broadcast(fit(training, own, bias))
-    # within its class a frequent word has a probability of 1
-    in_class = lambda n, c: F.when(c < OWN, 0.0).otherwise(F.log10((n + 0.5) / F.element_at(F.array(*map(F.lit, mass)), c + 1)))
-    values = counts.select("token", "n", F.log10((F.col("n") + 0.5) / F.lit(z)).alias("base_score"), in_class(F.col("n"), F.col("class")).alias("in_class"), F.lit(1.0).alias("n_known"))
-    absent = {"base_score": F.lit(float(np.log10(0.5 / z))), "in_class": in_class(F.lit(0), class_column(own))}
-
-    def start() -> Callable:
+    own, weights = model.own, spark.sparkContext.broadcast(model.weights)
+    values = model.counts.select("token", "n", F.log10((F.col("n") + 0.5) / F.lit(z)).alias("base_score"), F.when(F.col("alone"), 0.0).otherwise(model.within(F.col("n"), F.col("leaf"))).alias("in_class"), F.lit(1.0).alias("n_known"))
+    # END is alone in its leaf even where no training text shows it
+    absent = {"base_score": F.lit(float(np.log10(0.5 / z))), "in_class": F.when(F.col("token") == F.lit(END), 0.0).otherwise(model.within(F.lit(None).cast("long"), leaf_column()))}
+
+    def start(place: dict[bytes, int]) -> Callable:
         codes = Codes(own)
+        of_place = np.fromiter((codes[w] for w in place), np.int64, len(place))
 
         def of(texts: list[bytes]) -> Iterator:
             for at in range(0, len(texts), 50):
                 part = [tokens_of(t) for t in texts[at : at + 50]]
-                found, lengths = joined(part, codes)
-                rows, classes = features(found, lengths)
-                got = np.empty(len(rows))
-                for i in range(0, len(rows), MINIBATCH):
-                    got[i : i + MINIBATCH] = log_probabilities(weights.value, bias, rows[i : i + MINIBATCH], classes[i : i + MINIBATCH])
-                of_text = np.add.reduceat(got, np.r_[0, np.cumsum(lengths)[:-1]]) / np.log(10)
-                for t, m, s in zip(part, lengths.tolist(), of_text.tolist(), strict=True):
-                    yield t, (float(m), s)
+                lengths = np.array([len(t) for t in part], dtype=np.int64)
+                places_of = np.fromiter(map(place.get, chain.from_iterable(part), repeat(-1)), np.int64, int(lengths.sum()))
+                found = of_place[places_of] if len(of_place) else np.zeros(len(places_of), dtype=np.int64)
+                far = np.flatnonzero(places_of < 0)
+                ends = np.cumsum(lengths)
+                if len(far):
+                    every = list(chain.from_iterable(part))
+                    found[far] = [codes[every[k]] for k in far.tolist()]
+                kinds, leaf = features(found, lengths)
+                got = np.concatenate([log_probabilities(weights.value, kinds[:, i : i + CHUNK], leaf[i : i + CHUNK]) for i in range(0, len(leaf), CHUNK)])
+                of_text = np.add.reduceat(got, ends - lengths) / np.log(10)
+                for t, p, m, s in zip(part, np.split(places_of, ends[:-1]), lengths.tolist(), of_text.tolist(), strict=True):
+                    yield t, p, (float(m), s)
 
         return of
 

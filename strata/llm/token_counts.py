@@ -57,8 +57,8 @@ def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
 
     values = cut(token_counts(docs, pre_tokens).mapInArrow(run, "token binary, n long, pieces long"), "pre-tokens")
 
-    def start() -> Callable:
-        return lambda texts: [(pre_tokens(t), (float(len(t)),)) for t in texts]
+    def start(place: dict[bytes, int]) -> Callable:
+        return lambda texts: [(pre_tokens(t), None, (float(len(t)),)) for t in texts]
 
     out = sums(docs, start, values, "n", ["pieces"], ["n_bytes"])
     n = F.col("pieces").cast("long")

@@ -59,11 +59,11 @@ def head(values: DataFrame, order: str, names: list[str]) -> dict[bytes, tuple]:
     return dict(zip(map(bytes, rows["token"]), zip(*(rows[c] for c in names), strict=True), strict=True))
 
 
-def sums(docs: DataFrame, start: Callable[[], Callable], values: DataFrame, order: str, names: list[str], extra: list[str], absent: dict[str, Column] | None = None) -> DataFrame:
+def sums(docs: DataFrame, start: Callable[[dict[bytes, int]], Callable], values: DataFrame, order: str, names: list[str], extra: list[str], absent: dict[str, Column] | None = None) -> DataFrame:
     """For each row of docs: doc_id, `extra`, and the sum over its tokens of each column in `names` of `values`.
 
-    start() runs once in a task and returns a function from a list of texts to, for each of them, its tokens and the
-    numbers of `extra`. A token that isn't in the table has the values of `absent`, expressions over
+    start() runs once in a task, with the places of the head's tokens, and returns a function from a list of texts to, for
+    each of them, its tokens, their places (-1: none; or None, and they are looked up here) and the numbers of `extra`. A token that isn't in the table has the values of `absent`, expressions over
     the column `token`, or else zero. Every row of docs counts by itself, whatever its doc_id.
     """
     spark = docs.sparkSession
@@ -78,8 +78,8 @@ def sums(docs: DataFrame, start: Callable[[], Callable], values: DataFrame, orde
 
         from strata.llm.shared import utf8
 
-        of = start()
         place = {w: i for i, w in enumerate(known.value)}
+        of = start(place)
         # the last row is for tokens without a place, which have -1
         each = np.array([*known.value.values(), (0.0,) * k], dtype=np.float64)
         task, row = TaskContext.get().partitionId() << 33, 0
@@ -87,8 +87,9 @@ def sums(docs: DataFrame, start: Callable[[], Callable], values: DataFrame, orde
         for batch in batches:
             texts = utf8(batch.column(1))
             numbers, sure, rest, tokens_n, many = [], [], [], [], []
-            for tokens, more in of(texts):
-                at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
+            for tokens, at, more in of(texts):
+                if at is None:
+                    at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
                 far = Counter(map(tokens.__getitem__, np.flatnonzero(at < 0).tolist()))
                 numbers.append(more)
                 sure.append(each[at].sum(axis=0))
