@@ -71,25 +71,29 @@ def leaf_column() -> Column:
 
 
 class Codes(dict):
-    """A word's hash and leaf in one number, worked out when it is first met."""
+    """A word's hash and leaf in one number, for words with a leaf of their own and others that were met."""
 
     def __init__(self, own: dict[bytes, int]):
-        self.own = own
-
-    def __missing__(self, word: bytes) -> int:
-        leaf = self.own.get(word)
-        if leaf is None:  # as leaf_of(), without a call
-            leaf = LEAVES - WIDTH * SHARED + WIDTH * (zlib.crc32(word[-3:]) % SHARED)
-        code = (zlib.crc32(word) << 12) | leaf
-        if len(self) < KNOWN_WORDS:
-            self[word] = code
-        return code
+        super().__init__((w, (zlib.crc32(w) << 12) | leaf) for w, leaf in own.items())
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The codes of these words in turn."""
+        found = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        far = np.flatnonzero(found < 0)
+        if len(far):
+            # many at once, leaves as leaf_of() has them where a word has none of its own
+            new = [words[k] for k in far.tolist()]
+            ends = np.fromiter(map(zlib.crc32, [w[-3:] for w in new]), np.int64, len(new))
+            codes = (np.fromiter(map(zlib.crc32, new), np.int64, len(new)) << 12) | (LEAVES - WIDTH * SHARED + WIDTH * (ends % SHARED))
+            found[far] = codes
+            if len(self) < KNOWN_WORDS:
+                self.update(zip(new, codes.tolist(), strict=True))
+        return found
 
 
 def joined(texts: list[list[bytes]], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all tokens of these texts in turn, and how many each text has."""
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    return np.fromiter(map(codes.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum())), lengths
+    return codes.of(list(chain.from_iterable(texts))), np.array([len(t) for t in texts], dtype=np.int64)
 
 
 def features(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +156,7 @@ def log_probabilities(weights: Weights, kinds: np.ndarray, leaf: np.ndarray) ->
     total = np.zeros(len(leaf))
     for level, some, own, node, branch in branches(kinds, leaf):
         p = weights.odds(level, places(own, node, weights.buckets), node)
-        total[some] += np.log(p[np.arange(len(p)), branch] / (p @ np.ones(WIDTH, dtype=np.float32)))
+        total[some] += np.log(p[np.arange(len(p)), branch] / np.einsum("ij->i", p))
     return total
 
 
@@ -163,7 +167,7 @@ def train(weights: Weights, seen: np.ndarray, kinds: np.ndarray, leaf: np.ndarra
         for level, _, own, node, branch in branches(kinds[:, start : start + CHUNK], leaf[start : start + CHUNK]):
             at = places(own, node, weights.buckets)
             g = weights.odds(level, at, node)
-            g /= (g @ np.ones(WIDTH, dtype=np.float32))[:, None]
+            g /= np.einsum("ij->i", g)[:, None]
             g[np.arange(len(g)), branch] -= 1
             w, squares = weights.level(level), seen[level]
             for k in range(KINDS[level]):
@@ -294,19 +298,18 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
 
     def start(place: dict[bytes, int]) -> Callable:
         codes = Codes(own)
-        of_place = np.fromiter((codes[w] for w in place), np.int64, len(place))
+        of_place = codes.of(list(place))
 
         def of(texts: list[bytes]) -> Iterator:
             for at in range(0, len(texts), 50):
                 part = [tokens_of(t) for t in texts[at : at + 50]]
                 lengths = np.array([len(t) for t in part], dtype=np.int64)
-                places_of = np.fromiter(map(place.get, chain.from_iterable(part), repeat(-1)), np.int64, int(lengths.sum()))
-                found = of_place[places_of] if len(of_place) else np.zeros(len(places_of), dtype=np.int64)
+                every = list(chain.from_iterable(part))
+                places_of = np.fromiter(map(place.get, every, repeat(-1)), np.int64, len(every))
+                found = of_place[places_of] if len(of_place) else np.zeros(len(every), dtype=np.int64)
                 far = np.flatnonzero(places_of < 0)
+                found[far] = codes.of([every[k] for k in far.tolist()])
                 ends = np.cumsum(lengths)
-                if len(far):
-                    every = list(chain.from_iterable(part))
-                    found[far] = [codes[every[k]] for k in far.tolist()]
                 kinds, leaf = features(found, lengths)
                 got = np.concatenate([log_probabilities(weights.value, kinds[:, i : i + CHUNK], leaf[i : i + CHUNK]) for i in range(0, len(leaf), CHUNK)])
                 of_text = np.add.reduceat(got, ends - lengths) / np.log(10)

@@ -83,7 +83,7 @@ def test_probabilities_sum_to_one():
     leaves = np.array([k for k in range(lm.LEAVES) if k < lm.DEEP * lm.WIDTH**2 or k % lm.WIDTH == 0])
     kinds = np.repeat(np.array([[5], [77], [1234]], dtype=np.uint64), len(leaves), axis=1)
     assert np.exp(lm.log_probabilities(weights, kinds, leaves)).sum() == pytest.approx(1, abs=1e-4)
-    kinds, _ = lm.features(np.array([lm.Codes({})[w] for w in [b"a", b"b", b"a", b"c"]]), np.array([3, 1]))
+    kinds, _ = lm.features(lm.Codes({}).of([b"a", b"b", b"a", b"c"]), np.array([3, 1]))
     assert kinds[:, 0].tolist() == kinds[:, 3].tolist()  # either begins a document
 
 
@@ -104,5 +104,6 @@ def test_leaves_of_a_column(spark):
     words = [b"a", b"ab", b"abc", b"abcd", "\u00e9t\u00e9".encode(), b"x" * 500]
     got = spark.createDataFrame([(bytearray(w),) for w in words], "token binary").select("token", lm.leaf_column().alias("c")).collect()
     assert {bytes(r.token): r.c for r in got} == {w: lm.leaf_of(w, own) for w in words}
+    assert [c & 4095 for c in lm.Codes(own).of([b"the", *words]).tolist()] == [lm.leaf_of(w, own) for w in [b"the", *words]]
     many = lm.own_leaves([b"w%d" % k for k in range(5000)])
     assert len(set(many.values())) == len(many) == lm.FREQUENT + lm.DEEP_WORDS and max(many.values()) < lm.LEAVES - lm.WIDTH * lm.SHARED
