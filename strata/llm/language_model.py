@@ -43,7 +43,7 @@ STEP, CHUNK = 0.3, 16_384
 #: Shares of the training documents that each round takes, in eighths; shards of a round at least, and how many times as
 #: large as their change to the weights they are.
 ROUNDS, SHARDS, SHARD_SIZE = (1, 7), 32, 10
-OWN_BYTES, KNOWN_WORDS = 64, 500_000
+OWN_BYTES = 64
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -71,7 +71,7 @@ def leaf_column() -> Column:
 
 
 class Codes(dict):
-    """A word's hash and leaf in one number, for words with a leaf of their own and others that were met."""
+    """A word's hash and leaf in one number, for words with a leaf of their own: few enough to stay in a processor's cache."""
 
     def __init__(self, own: dict[bytes, int]):
         super().__init__((w, (zlib.crc32(w) << 12) | leaf) for w, leaf in own.items())
@@ -84,10 +84,7 @@ class Codes(dict):
             # many at once, leaves as leaf_of() has them where a word has none of its own
             new = [words[k] for k in far.tolist()]
             ends = np.fromiter(map(zlib.crc32, [w[-3:] for w in new]), np.int64, len(new))
-            codes = (np.fromiter(map(zlib.crc32, new), np.int64, len(new)) << 12) | (LEAVES - WIDTH * SHARED + WIDTH * (ends % SHARED))
-            found[far] = codes
-            if len(self) < KNOWN_WORDS:
-                self.update(zip(new, codes.tolist(), strict=True))
+            found[far] = (np.fromiter(map(zlib.crc32, new), np.int64, len(new)) << 12) | (LEAVES - WIDTH * SHARED + WIDTH * (ends % SHARED))
         return found
 
 
@@ -118,7 +115,7 @@ def places(kinds: np.ndarray, node: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of each feature (kinds x n) at a node."""
     with np.errstate(over="ignore"):
         h = (kinds + (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(44) & np.uint64(buckets - 1)).astype(np.int32)
+    return (h >> np.uint64(44) & np.uint64(buckets - 1)).astype(np.int64)
 
 
 class Weights:
@@ -127,6 +124,7 @@ class Weights:
     def __init__(self, buckets: int, bias: list[np.ndarray]):
         self.buckets, self.bias = buckets, bias
         self.of = np.zeros((sum(KINDS) * buckets, WIDTH), dtype=np.float32)
+        self.room = np.empty((2, 0, WIDTH), dtype=np.float32)
 
     def level(self, level: int) -> np.ndarray:
         """Kinds x buckets x WIDTH."""
@@ -134,12 +132,16 @@ class Weights:
         return self.of[start : start + KINDS[level] * self.buckets].reshape(KINDS[level], self.buckets, WIDTH)
 
     def odds(self, level: int, at: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """exp of the sums of weights for all branches."""
-        w = self.level(level)
-        z = self.bias[level].take(node, axis=0)
+        """exp of the sums of weights for all branches, in room that the next call takes again."""
+        w, n = self.level(level), len(node)
+        if self.room.shape[1] < n:
+            self.room = np.empty((2, n, WIDTH), dtype=np.float32)
+        z, more = self.room[:, :n]
+        # all places are within bounds; with "clip" take() writes to its output at once
+        self.bias[level].take(node, axis=0, out=z, mode="clip")
         for k in range(KINDS[level]):
-            z += w[k].take(at[k], axis=0)
-        np.maximum(np.minimum(z, 60, out=z), -60, out=z)
+            z += w[k].take(at[k], axis=0, out=more, mode="clip")
+        np.clip(z, -60, 60, out=z)
         return np.exp(z, out=z)
 
 
@@ -162,7 +164,9 @@ def log_probabilities(weights: Weights, kinds: np.ndarray, leaf: np.ndarray) ->
 
 def train(weights: Weights, seen: np.ndarray, kinds: np.ndarray, leaf: np.ndarray) -> None:
     """A gradient step for each chunk of tokens, in place. seen: the sum of squared steps of each row of weights."""
-    total, cells = np.zeros((weights.buckets, WIDTH), dtype=np.float32), np.empty((CHUNK, WIDTH), dtype=np.int64)
+    total, cells = np.zeros((weights.buckets, WIDTH), dtype=np.float32), np.empty((CHUNK, WIDTH // 2), dtype=np.int64)
+    # two branches are added at a time, as the two parts of a complex number
+    pairs = total.view(np.complex64).reshape(-1)
     for start in range(0, len(leaf), CHUNK):
         for level, _, own, node, branch in branches(kinds[:, start : start + CHUNK], leaf[start : start + CHUNK]):
             at = places(own, node, weights.buckets)
@@ -172,8 +176,8 @@ def train(weights: Weights, seen: np.ndarray, kinds: np.ndarray, leaf: np.ndarra
             w, squares = weights.level(level), seen[level]
             for k in range(KINDS[level]):
                 # gradients of equal rows are added up
-                cell = np.add((at[k] * WIDTH)[:, None], np.arange(WIDTH), out=cells[: len(g)])
-                np.add.at(total.reshape(-1), cell.reshape(-1), g.reshape(-1))
+                cell = np.add((at[k] * (WIDTH // 2))[:, None], np.arange(WIDTH // 2), out=cells[: len(g)])
+                np.add.at(pairs, cell.reshape(-1), g.view(np.complex64).reshape(-1))
                 row = np.flatnonzero(np.bincount(at[k], minlength=weights.buckets))
                 step = total[row]
                 total[row] = 0
@@ -220,7 +224,7 @@ def fit(docs: DataFrame, own: dict[bytes, int], weights: Weights, tokens: int) -
 
         part = docs.where((eighth >= low) & (eighth < low + share))
         low += share
-        dealt = part.select(F.pmod(key, F.lit(shards)).alias("shard"), "text", key.alias("key")).repartition("shard").sortWithinPartitions("shard", "key")
+        dealt = part.select(F.pmod(key, F.lit(shards)).alias("shard"), "text", key.alias("key")).repartition(shards, "shard").sortWithinPartitions("shard", "key")
         changes = dealt.select("shard", "text").mapInArrow(run, "block long, part long, n long, change binary")
         # up to 32 shards' changes meet at first, then the sums of those
         for keys in (["block", "part"], ["block"]):
