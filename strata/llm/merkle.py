@@ -117,7 +117,9 @@ def jumped(nodes: DataFrame, rounds: int) -> DataFrame:
         copies = max(1, FAN ** (2**k) // MOST_A_COPY)
         copy = F.pmod(F.xxhash64("tree", "level", "i"), F.lit(copies)).cast("int")
         above = nodes.select(*(F.col(c).alias(f"p{c}") for c in ("tree", "level", "i")), F.col("sub").alias("_sub"), F.col("way").alias("_way"), *(F.col(c).alias(f"_{c}") for c in pointer))
-        above = above.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))) if copies > 1 else above.withColumn("_copy", F.lit(0))
+        if copies > 1:  # of the few that are pointed at
+            above = above.join(nodes.select(*pointer).distinct(), pointer, "left_semi")
+        above = above.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
         on = nodes.where("ptree IS NOT NULL").withColumn("_copy", copy).join(above, [*pointer, "_copy"])
         on = on.select("tree", "level", "i", F.coalesce("sub", "_sub").alias("sub"), F.concat("way", "_way").alias("way"), *(F.col(f"_{c}").alias(c) for c in pointer))
         nodes = nodes.where("ptree IS NULL").unionByName(on)
@@ -164,11 +166,11 @@ def manifest(docs: DataFrame, tamper: tuple[Column, Callable[[Column], Column]]
     nodes = cut(union([lone, *below, *above]), "nodes")
 
     # first pointers: to the parent, whose run tells the siblings; a parent is known by the place that it has in its own tree
-    parents = nodes.where("kids IS NOT NULL").select(F.col("under_tree").alias("_tree"), F.col("under").alias("_under"), F.col("under_i").alias("_i"), F.col("kids").alias("_kids"), F.col("tree").alias("ptree"), F.col("level").alias("plevel"), F.col("i").alias("pi"))
+    parents = nodes.where("kids IS NOT NULL").select(F.col("under_tree").alias("_tree"), F.col("under").alias("_under"), F.col("under_i").alias("_i"), F.col("kids").alias("_kids"), F.col("h").alias("_h"), F.col("tree").alias("ptree"), F.col("level").alias("plevel"), F.col("i").alias("pi"))
     up = [F.col("_tree") == F.col("tree"), F.col("_under") == F.col("level") + 1, F.col("_i") == F.floor(F.col("i") / FAN)]
     ways = nodes.join(parents, up, "left")
     place = F.pmod(F.col("i"), F.lit(FAN))
-    sub = F.when((F.col("tree") == TOP) & (F.col("level") == 0), F.col("h"))
+    sub = F.when((F.col("tree") == TOP) & (F.col("level") == 0), F.col("h")).when((F.col("ptree") == TOP) & (F.col("plevel") == 0), F.col("_h"))
     way = F.when(F.col("ptree").isNull(), F.lit(b"")).otherwise(without(F.col("_kids"), place))
     first = ways.select("tree", "level", "i", sub.alias("sub"), way.alias("way"), "ptree", "plevel", "pi")
     distance = max(0, depth(most) - 1) + depth(trees)
