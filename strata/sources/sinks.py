@@ -75,12 +75,13 @@ def compact(spark: SparkSession, path: str, to: str, keys: list[str], target_byt
     beside the old table."""
     df = spark.read.option("basePath", path).parquet(path)
     if keys:
-        # files of a key by its bytes; rows are dealt over them by a hash
+        # files of a key by its bytes; rows are dealt over them by a hash. A null key is a key like any other
         each = df.select(*keys, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size")).distinct()
-        n = each.groupBy(*keys).agg(F.ceil(F.sum("_size") / target_bytes).cast("int").alias("_files"))
+        n = each.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(F.ceil(F.sum("_size") / target_bytes).cast("int").alias("_files"))
         salt = F.pmod(F.xxhash64(*df.columns), F.col("_files")).alias("_salt")
         total = n.agg(F.sum("_files")).collect()[0][0] or 1  # a given number of partitions is not merged at run time
-        df = df.join(n, keys).select(*df.columns, salt).repartition(2 * total, *keys, "_salt").drop("_salt")
+        same_key = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+        df = df.join(n, same_key).select(*df.columns, salt).repartition(2 * total, *keys, "_salt").drop("_salt")
     else:
         size = file_stats(spark, path).agg(F.sum("bytes")).collect()[0][0] or 0
         df = df.repartition(max(1, -(-size // target_bytes)), *(sort_by or []))

@@ -150,22 +150,13 @@ def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
     return sink
 
 
-def upsert_sink(root: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Upserts each batch into a versioned table. A batch that was published before is left out on replay."""
-    from strata.operators.changes import upsert
-    from strata.operators.windows import latest_per_key
-    from strata.sources import versions
+def upsert_sink(root: str, keys: list[str], order: list[str], n_buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Upserts each batch into a table of buckets, of which it rewrites those that its keys fall into. A batch that was published
+    before is left out on replay. sources.buckets reads the table."""
+    from strata.sources.buckets import merge_buckets
 
     def sink(df: DataFrame, n: int) -> None:
-        spark, note = df.sparkSession, f"batch {n}"
-        if not versions.history(spark, root).where(F.col("note") == note).isEmpty():
-            return
-        last = latest_per_key(df, keys, order)
-        try:
-            last = upsert(versions.read_version(spark, root), last, keys, check=False)
-        except LookupError:
-            pass
-        versions.publish(last, root, note)
+        merge_buckets(df, root, keys, order, n_buckets, f"batch {n}")
 
     return sink
 
@@ -175,17 +166,3 @@ def score(df: DataFrame, rules: dict[str, tuple[Column, int]], high: int = 70) -
     flags = df.withColumns({k: F.coalesce(c, F.lit(False)) for k, (c, _) in rules.items()})
     total = sum((F.col(k).cast("int") * p for k, (_, p) in rules.items()), F.lit(0))
     return flags.withColumn("score", total).withColumn("level", F.when(F.col("score") >= high, "high").when(F.col("score") > 0, "low").otherwise("none"))
-
-
-def progress_rows(spark: SparkSession, progress: list[dict]) -> DataFrame:
-    """Batch, rows, rates and watermark from a query's recentProgress."""
-    rows = [(p["batchId"], p["numInputRows"], float(p.get("processedRowsPerSecond") or 0), int(p["durationMs"].get("triggerExecution", 0)), sum(s["numRowsTotal"] for s in p["stateOperators"]), (p.get("eventTime") or {}).get("watermark")) for p in progress]
-    return spark.createDataFrame(rows, "batch_id long, n_rows long, rows_per_second double, duration_ms long, state_rows long, watermark string")
-
-
-def stream_health(progress: DataFrame, trigger_ms: int) -> DataFrame:
-    """Batches that took longer than the trigger, and growth of the state over the last five."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("batch_id")  # a row for each batch of one query
-    return progress.select("batch_id", (F.col("duration_ms") > trigger_ms).alias("slow"), (F.col("state_rows") > F.lag("state_rows", 5).over(w)).alias("state_grows"))

@@ -13,8 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strata.operators import changes
-from strata.operators.windows import latest_per_key
-from strata.sources import versions
+from strata.sources import buckets, versions
 from strata.streaming import events as st
 
 
@@ -140,30 +139,24 @@ def bronze_stream(records: DataFrame, path: str, checkpoint: str) -> None:
     rows.writeStream.format("parquet").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def cdc_job(envelopes: DataFrame, root: str, checkpoint: str, row: T.StructType, keys: list[str]) -> None:
+def cdc_job(envelopes: DataFrame, root: str, checkpoint: str, row: T.StructType, keys: list[str], n_buckets: int = 64) -> None:
     """Change envelopes (JSON in `value`) into a replica and a change log, batch by batch.
 
-    The replica keeps the last change of each key, deletes as well, so that a change that arrives late can't undo a
-    newer one. A batch that comes again replaces its own part of the log and changes nothing in the replica."""
+    The replica is a table of buckets, and a batch rewrites those of its keys. It keeps the last change of each key, deletes as well,
+    so that a change that arrives late can't undo a newer one. A batch that comes again replaces its own part of the log and
+    changes nothing in the replica."""
 
     def sink(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
         part = f"{root}/changes/batch={n}"
         changes.flatten_changes(changes.parse_changes(batch, "value", row)).write.mode("overwrite").parquet(part)
-        found = spark.read.parquet(part)
-        try:
-            found = versions.read_version(spark, f"{root}/replica").unionByName(found)
-        except LookupError:
-            pass
-        if versions.history(spark, f"{root}/replica").where(F.col("note") == f"batch {n}").isEmpty():
-            versions.publish(latest_per_key(found, keys, ["ts_ms", "lsn"]), f"{root}/replica", f"batch {n}")
+        buckets.merge_buckets(batch.sparkSession.read.parquet(part), f"{root}/replica", keys, ["ts_ms", "lsn"], n_buckets, f"batch {n}")
 
     st.run_available(envelopes, sink, checkpoint)
 
 
 def replica(spark: SparkSession, root: str) -> DataFrame:
     """The table as it stands after cdc_job()."""
-    return versions.read_version(spark, f"{root}/replica").where("op <> 'd'").drop("op", "ts_ms", "lsn")
+    return buckets.read_buckets(spark, f"{root}/replica").where("op <> 'd'").drop("op", "ts_ms", "lsn")
 
 
 def replica_history(spark: SparkSession, root: str, keys: list[str], tracked: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.operators import changes, joins, quality, windows
-from strata.sources import files, sinks, versions
+from strata.sources import buckets, files, sinks, versions
 from strata.streaming import events as st
 
 
@@ -113,8 +113,8 @@ def test_upsert_sink_replay(spark, tmp_path):
     first, second = (spark.createDataFrame(r, "k int, t int, v string") for r in ([(1, 1, "a"), (1, 2, "b")], [(1, 3, "c"), (2, 1, "d")]))
     for df, n in ((first, 0), (second, 1), (second, 1)):
         sink(df, n)
-    assert sorted((r.k, r.v) for r in versions.read_version(spark, root).collect()) == [(1, "c"), (2, "d")]
-    assert versions.history(spark, root).count() == 2
+    assert sorted((r.k, r.v) for r in buckets.read_buckets(spark, root).collect()) == [(1, "c"), (2, "d")]
+    assert versions.history(spark, f"{root}/manifest").count() == 2
 
 
 def test_global_rank_over_many_small_ranges(spark):
