@@ -29,6 +29,63 @@ def plan_facts(df: DataFrame) -> dict:
     }
 
 
+def scan_metrics(df: DataFrame) -> list[dict[str, int]]:
+    """Files and bytes that each scan of a frame without exchanges chose, and the rows that it gave: the frame is run for it."""
+    run = df._jdf.queryExecution()
+    run.toRdd().count()
+    leaves, out = run.executedPlan().collectLeaves(), []
+    for k in range(leaves.size()):
+        metrics = leaves.apply(k).metrics()
+        if metrics.contains("numFiles"):
+            out.append({name: metrics.apply(key).value() for name, key in (("files", "numFiles"), ("bytes", "filesSize"), ("rows", "numOutputRows"))})
+    return out
+
+
+GROUPS = "file string, row_group int, n_rows long, n_bytes long, column_bytes long, nulls long"
+
+
+def row_groups(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """A row for each row group of a Parquet table, from the files' footers: rows, bytes of all columns and of this one (a leaf's path with dots), its
+    nulls, and low and high, its bounds; null where the writer left none. Tasks read the footers, a few kB of each file."""
+    df = spark.read.parquet(path)
+    kind = df.select(F.col(column)).schema[0].dataType.simpleString()
+    files = spark.createDataFrame([(f,) for f in df.inputFiles()], "file string")  # the list that a scan plans with
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for name in batch.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(name)
+                with system.open_input_file(at) as f:
+                    meta = pq.read_metadata(f)
+                for g in range(meta.num_row_groups):
+                    group = meta.row_group(g)
+                    chunk = next(c for c in map(group.column, range(group.num_columns)) if c.path_in_schema == column)
+                    stats = chunk.statistics
+                    bounds = (str(stats.min), str(stats.max)) if stats and stats.has_min_max else (None, None)
+                    rows.append((name, g, group.num_rows, sum(group.column(k).total_compressed_size for k in range(group.num_columns)), chunk.total_compressed_size, stats.null_count if stats and stats.has_null_count else None, *bounds))
+            names = ["file", "row_group", "n_rows", "n_bytes", "column_bytes", "nulls", "low", "high"]
+            types = [pa.string(), pa.int32(), *[pa.int64()] * 4, pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+    found = files.repartition(max(1, min(files.count(), spark.sparkContext.defaultParallelism * 4))).mapInArrow(run, GROUPS + ", low string, high string")
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("low", "high")})
+
+
+def hit(groups: DataFrame, low=None, high=None) -> DataFrame:
+    """row_groups() that can hold a value from low to high, both inclusive; those without bounds always can."""
+    can = F.lit(True)
+    if low is not None:
+        can = can & F.coalesce(F.col("high") >= F.lit(low), F.lit(True))
+    if high is not None:
+        can = can & F.coalesce(F.col("low") <= F.lit(high), F.lit(True))
+    return groups.where(can)
+
+
 _TASK = T.StructType([T.StructField("Launch Time", T.LongType()), T.StructField("Finish Time", T.LongType()), T.StructField("Failed", T.BooleanType())])
 _METRICS = T.StructType([T.StructField("Memory Bytes Spilled", T.LongType()), T.StructField("Disk Bytes Spilled", T.LongType()), T.StructField("JVM GC Time", T.LongType())])
 EVENT = T.StructType([

@@ -77,6 +77,36 @@ def global_rank(df: DataFrame, column: str, tie: str, name: str = "place", n: in
     return ranged.join(before, "_part").withColumn(name, F.col("_row") + F.col("_before") + 1).drop("_part", "_row", "_before")
 
 
+def ranks_in_groups(df: DataFrame, group: list[str], value: str, tie: list[str], n: int | None = None) -> DataFrame:
+    """df with row_number, rank and dense_rank within groups, largest value first, like rank_within(), but a group of any size is
+    spread over tasks: rows are dealt by ranges of (group, value, tie) and ranked within each range; a group's ranges, a row each, then tell by
+    how much. A value may go on over several ranges. Null groups are one group, null values come last."""
+    order = [*(F.col(c) for c in group), F.desc(value), *(F.col(c) for c in tie)]
+    ranged = df.repartitionByRange(*([n] if n else []), *order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(ranged, "ranged")  # once: dealt out anew, rows could fall into other ranges
+    own = Window.partitionBy("_part", *group).orderBy(F.desc(value))
+    local = ranged.withColumns({"_rank": F.rank().over(own), "_dense": F.dense_rank().over(own), "_row": F.row_number().over(own.orderBy(F.desc(value), *tie))})
+    local = cut(local, "local")
+    # a row for each group and range
+    last = F.max_by(F.struct(F.col(value).alias("v"), F.col("_rank").alias("r")), "_row")
+    each = local.groupBy(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(group)), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"), F.max("_dense").alias("_values"), F.min_by(F.struct(F.col(value).alias("v")), "_row").alias("_first"), last.alias("_last"))
+    parts = Window.partitionBy(*(f"_g{k}" for k in range(len(group)))).orderBy("_p")
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    goes_on = F.lag(F.lit(True), 1, False).over(parts) & F.col("_first.v").eqNullSafe(F.lag("_last.v").over(parts))
+    each = each.withColumns({"_before": before, "_goes_on": goes_on})
+    # where the last value of a range began; a range that only goes on with one doesn't know
+    each = each.withColumn("_began", F.when(~(F.col("_goes_on") & (F.col("_values") == 1)), F.col("_before") + F.col("_last.r")))
+    moves = each.withColumns({
+        "_begun": F.when(F.col("_goes_on"), F.last("_began", ignorenulls=True).over(earlier)),
+        "_values_before": F.coalesce(F.sum("_values").over(earlier), F.lit(0)) - F.sum(F.col("_goes_on").cast("int")).over(parts.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    moves = moves.select(*(f"_g{k}" for k in range(len(group))), "_p", "_before", "_begun", "_values_before")
+    on = [F.col("_part") == F.col("_p"), *(F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(group))]
+    rank = F.when((F.col("_rank") == 1) & F.col("_begun").isNotNull(), F.col("_begun")).otherwise(F.col("_rank") + F.col("_before"))
+    return local.join(moves, on).select(*df.columns, (F.col("_row") + F.col("_before")).alias("row_number"), rank.alias("rank"), (F.col("_dense") + F.col("_values_before")).alias("dense_rank"))
+
+
 def zscore_outliers(df: DataFrame, group: str, column: str, bound: float = 3.0) -> DataFrame:
     """Rows further than bound standard deviations from their group's mean."""
     stats = df.groupBy(group).agg(F.avg(column).alias("_mean"), F.stddev_samp(column).alias("_sd"))

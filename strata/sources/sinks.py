@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", codec: str | None = None, sort_by: list[str] | None = None, range_by: list[str] | None = None, n_files: int | None = None, coalesce: int | None = None, max_records: int | None = None) -> None:
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", codec: str | None = None, sort_by: list[str] | None = None, range_by: list[str] | None = None, n_files: int | None = None, coalesce: int | None = None, max_records: int | None = None, **options) -> None:
     """mode: overwrite (the only one that a retry leaves alike), append, errorifexists, ignore. sort_by sorts within
-    files, so that row groups can be skipped; range_by orders files among themselves."""
+    files, so that row groups can be skipped; range_by orders files among themselves. options are the format's own."""
     if range_by:
         df = df.repartitionByRange(*([n_files] if n_files else []), *range_by)
     elif n_files:
@@ -24,7 +24,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
         writer = writer.option("compression", codec)
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)
-    writer.save(path)
+    writer.options(**options).save(path)
 
 
 def write_partitioned(df: DataFrame, path: str, keys: list[str], files_per_key: int = 1, by: str | None = None, max_records: int = 0, mode: str = "overwrite", overwrite: str = "dynamic") -> None:
