@@ -87,3 +87,26 @@ def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
     if column:
         reader = reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=n)
     return reader.load()
+
+
+def quantile_bounds(spark: SparkSession, url: str, table: str, column: str, n: int, **options) -> list:
+    """Values that part a table's rows into n ranges of about the same size; fewer if some are equal. Only the column is read, once."""
+    keys = spark.read.format("jdbc").options(url=url, dbtable=f"(SELECT {column} FROM {table}) k", **options).load()
+    found = keys.agg(F.percentile_approx(keys.columns[0], [k / n for k in range(1, n)], 10_000)).collect()[0][0] if n > 1 else None
+    return sorted(set(found or []))
+
+
+def range_predicates(column: str, bounds: list) -> list[str]:
+    """Conditions that each row fulfils one of: nulls are in the first."""
+    if not bounds:
+        return ["1 = 1"]
+    value = lambda b: str(b) if isinstance(b, int | float) else f"'{b}'"
+    middle = [f"{column} >= {value(a)} AND {column} < {value(b)}" for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [f"{column} < {value(bounds[0])} OR {column} IS NULL", *middle, f"{column} >= {value(bounds[-1])}"]
+
+
+def read_jdbc_ranges(spark: SparkSession, url: str, table: str, column: str, n: int, bounds: list | None = None, **options) -> DataFrame:
+    """A table in n ranges that hold about the same number of rows each, however the column is spread. bounds, if given, are taken
+    as they are: whatever they are, each row is read once."""
+    bounds = quantile_bounds(spark, url, table, column, n, **options) if bounds is None else sorted(set(bounds))
+    return spark.read.jdbc(url, table, predicates=range_predicates(column, bounds), properties=options)
