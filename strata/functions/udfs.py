@@ -47,9 +47,43 @@ def haversine_km(lat: pd.Series, lon: pd.Series, lat0: pd.Series, lon0: pd.Serie
     return 2 * 6371.0088 * np.arcsin(np.sqrt(h.clip(0, 1)))
 
 
-@F.udtf(returnType=T.StructType([T.StructField("word", T.StringType()), T.StructField("place", T.IntegerType())]))
+class GroupTooLarge(Exception):
+    """A group has more rows than a task may hold."""
+
+
+def zscores(df: DataFrame, key: str, column: str, most: int = 5_000_000) -> DataFrame:
+    """df with z, the distance to the mean of its group in (sample) standard deviations: Arrow batches, and one group at a time in a task. 0 where the
+    group's values don't differ or are one; null where the value is. A group of more than `most` rows is refused by its task; windows over
+    built-in aggregates have no such bound."""
+
+    def run(keys, group):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if group.num_rows > most:
+            raise GroupTooLarge(f"{keys[0]}: {group.num_rows} rows")
+        values = group.column(column).cast(pa.float64())
+        n = len(values) - values.null_count
+        deviation = pc.stddev(values, ddof=1).as_py() if n > 1 else None
+        z = pc.divide(pc.subtract(values, pc.mean(values)), deviation) if deviation else pc.if_else(pc.is_valid(values), 0.0, pa.scalar(None, pa.float64()))
+        return group.append_column("z", z)
+
+    schema = T.StructType([*df.schema.fields, T.StructField("z", T.DoubleType())])
+    return df.groupBy(key).applyInArrow(run, schema)
+
+
+@F.udtf(returnType=T.StructType([T.StructField("word", T.StringType()), T.StructField("place", T.IntegerType())]), useArrow=True)
 class Words:
-    """A table function: the words of a text with their places."""
+    """A table function: the words of a text with their places. A text without words, or null, gives none, or with `keep` a row of nulls:
+    an outer lateral join doesn't keep rows for which a Python function gives nothing."""
+
+    def eval(self, text: str, keep: bool):
+        words = (text or "").split()
+        yield from ((w, k) for k, w in enumerate(words))
+        if keep and not words:
+            yield None, None
+
 
-    def eval(self, text: str):
-        yield from ((w, k) for k, w in enumerate((text or "").split()))
+def with_words(df: DataFrame, column: str, keep_empty: bool = False) -> DataFrame:
+    """df beside each of its texts' words: a lateral join to the table function. keep_empty: texts without words keep a row."""
+    return df.lateralJoin(Words(F.col(column).outer(), F.lit(keep_empty)))

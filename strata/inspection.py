@@ -121,7 +121,35 @@ def core_hours(spark: SparkSession, log_dir: str, rate: float) -> DataFrame:
 
 
 def analyze(spark: SparkSession, table: str, columns: list[str] | None = None) -> None:
-    """Statistics of a catalogued table, and of columns of it, for cost-based planning."""
+    """Statistics of a catalogued table, and of columns of it, for cost-based planning. They are a snapshot: a table that has changed
+    since must be analyzed again."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
     if columns:
         spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR COLUMNS {', '.join(columns)}")
+
+
+STATISTICS = {"min": "low", "max": "high", "num_nulls": "n_nulls", "distinct_count": "n_distinct", "avg_col_len": "mean_length"}
+
+
+def statistics(spark: SparkSession, table: str, columns: list[str]) -> DataFrame:
+    """column, low, high (as text), n_nulls, n_distinct (estimated) and mean_length of analyzed columns; null where there are none."""
+    rows = []
+    for c in columns:
+        said = {r["info_name"]: None if r["info_value"] == "NULL" else r["info_value"] for r in spark.sql(f"DESCRIBE EXTENDED {table} {c}").collect()}
+        rows.append((c, *(said.get(k) for k in STATISTICS)))
+    texts = spark.createDataFrame(rows, "column string, " + ", ".join(f"{v} string" for v in STATISTICS.values()))
+    return texts.withColumns({c: F.col(c).cast("long") for c in ("n_nulls", "n_distinct", "mean_length")})
+
+
+def planned_by_cost(spark: SparkSession) -> SparkSession:
+    """A session over the same catalog that orders joins by analyzed statistics; the caller's own stays as it is. A session
+    keeps what it has read of a table: one that was made before the table was analyzed must refresh it."""
+    other = spark.newSession()
+    for k in ("cbo.enabled", "cbo.joinReorder.enabled", "cbo.planStats.enabled"):
+        other.conf.set(f"spark.sql.{k}", "true")
+    return other
+
+
+def join_order(df: DataFrame) -> list[str]:
+    """The tables of a plan's scans in the order in which they are joined, the first two of the innermost join first."""
+    return [m.rsplit(".", 1)[-1] for m in re.findall(r"Relation (?:\w+\.)*(\w+)\[", df._jdf.queryExecution().optimizedPlan().toString())]
