@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.shared import cut, table
+from strata.llm.shared import cut, kept_columns, table
 
 #: The patterns of the contract, with possessive repeats: nothing follows that they could give way to. A local part
 #: begins where its run of characters does, or where the last finding ended; so does the first number of an IP address.
@@ -29,6 +29,10 @@ PATTERNS = {
 #: Words on either side of an entity that count as near it, share of texts and share of what there is to tell that disclose.
 NEAR, DISCLOSURE, INFORMED = 8, 0.5, 0.6
 WORD = r"[^\x20\x09-\x0D]+"
+#: Findings of a text that are placed together.
+BLOCK = 256
+#: Characters on either side of an entity in which the nearest words are looked for; if there are too few, in the next number of them, and at last in all.
+REACHES = (320, 2_560, 20_480)
 
 SPANS = "array<struct<kind: string, first: int, last: int, found: string>>"
 
@@ -47,19 +51,37 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _placed(text: Column, pattern: str) -> Column:
-    """All findings in turn with their places: what stands between two findings tells where the next one begins."""
+    """All findings in turn with their places: what stands between two findings tells where the next one begins.
+
+    Lengths are added up within blocks of BLOCK findings, and blocks are moved by those before them, since an array that grows by one
+    finding is copied each time."""
+    kind = "array<struct<first: int, last: int, found: string>>"
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    # an array of (gap, finding); each begins after the lengths of all before it
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda x, g: F.struct(x.alias("found"), F.length(g).alias("gap")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first: int, last: int, found: string>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         first = a["at"] + x["gap"]
         last = first + F.length(x["found"])
         return F.struct(last.alias("at"), F.concat(a["out"], F.array(F.struct(first.alias("first"), last.alias("last"), x["found"].alias("found")))).alias("out"))
 
-    return F.aggregate(pairs, zero, step, lambda a: a["out"])
+    def moved(blocks: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<by: int, out: {kind}>>").alias("out"))
+        after = F.aggregate(blocks, begin, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("by"), x["out"].alias("out")))).alias("out")), lambda a: a["out"])
+        return F.flatten(F.transform(after, lambda x: F.transform(x["out"], lambda s: F.struct((s["first"] + x["by"]).alias("first"), (s["last"] + x["by"]).alias("last"), s["found"].alias("found")))))
+
+    def placed(pairs: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(pairs, k * BLOCK + 1, BLOCK), zero, step))
+        return F.when(F.size(pairs) == 0, F.array().cast(kind)).otherwise(moved(each))
+
+    # an array of (gap, finding); each begins after the lengths of all before it
+    pairs = _let(found, lambda f: F.zip_with(f, F.slice(gaps, 1, F.size(f)), lambda x, g: F.struct(x.alias("found"), F.length(g).alias("gap"))))
+    return _let(pairs, placed)
 
 
 def _check(kind: str) -> Callable[[Column], Column]:
@@ -99,50 +121,75 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))), _plain))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity and term, of the terms that disclose. docs: text; found: text and spans of the documents with spans.
+def _nearest(text: Column, s: Column, before: bool) -> Column:
+    """The NEAR words that stand nearest to a span on one side. Part of the text will do if it has a word more, as its outermost may be cut."""
+    room = s["first"] if before else F.length(text) - s["last"]
+
+    def within(reach: int | None, wider: Column | None) -> Column:
+        length = room if reach is None else F.least(room, F.lit(reach))
+        part = F.substr(text, s["first"] - length + 1, length) if before else F.substr(text, s["last"] + 1, length)
+        words = F.regexp_extract_all(part, F.lit(WORD), F.lit(0))
+        if wider is None:
+            return _first(words)
+        return _let(words, lambda w: F.when((room <= reach) | (F.size(w) > NEAR), _first(w)).otherwise(wider))
+
+    def _first(words: Column) -> Column:
+        return F.slice(F.reverse(words) if before else words, 1, NEAR)
+
+    out = within(None, None)
+    for reach in reversed(REACHES):
+        out = within(reach, out)
+    return out
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entity and term of the terms that disclose, and the key and term of every row of docs that holds a candidate. docs: the key (_a, _b) and
+    text; found: text and spans of the documents with spans.
 
     Texts are counted once however often they are copied, and so are surroundings. The texts that hold a term are all
     those of docs.
     """
     as_text = F.xxhash64("text").alias("of")
     spans = found.select("text", F.explode("spans").alias("s")).where(F.col("s.kind") != "term")
-    before = F.slice(F.reverse(F.regexp_extract_all(F.substr("text", F.greatest(F.col("s.first") - 40 * NEAR, F.lit(0)) + 1, F.least(F.col("s.first"), F.lit(40 * NEAR))), F.lit(WORD), F.lit(0))), 1, NEAR)
-    after = F.slice(F.regexp_extract_all(F.substr("text", F.col("s.last") + 1, F.lit(40 * NEAR)), F.lit(WORD), F.lit(0)), 1, NEAR)
-    near = spans.select(_entity(F.col("s")).alias("entity"), as_text, F.array_distinct(F.transform(F.concat(before, after), _plain)).alias("words"))
+    text, s = F.col("text"), F.col("s")
+    near = spans.select(_entity(s).alias("entity"), as_text, F.array_distinct(F.transform(F.concat(_nearest(text, s, True), _nearest(text, s, False)), _plain)).alias("words"))
     near = cut(near.withColumn("around", F.xxhash64("words")).dropDuplicates(["entity", "of", "around"]), "near")
     # a hot entity's surroundings meet only per term
     pairs = near.select("entity", "of", "around", F.explode("words").alias("term")).where(~F.col("term").rlike(r"^[\p{N}.:-]*$|@"))
     pairs = cut(pairs.groupBy("entity", "term").agg(F.count_distinct("of").alias("both"), F.count_distinct("around").alias("k")).where(F.col("k") / (F.col("k") + 1) >= INFORMED), "pairs")
     terms = cut(pairs.select("term").distinct(), "words")
-    every = docs.select(as_text, F.explode(_words(F.col("text"))).alias("term")).join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    # all words of all texts are looked at once; what is kept are the candidates'
+    held = cut(docs.select("_a", "_b", as_text, F.explode(_words(text)).alias("term")).join(terms, "term", "left_semi"), "held")
+    every = held.select("of", "term").distinct().groupBy("term").agg(F.count("*").alias("n"))
     texts = docs.select(as_text).distinct().count()
     of_entity = near.groupBy("entity").agg(F.count_distinct("of").alias("texts"))
     share, own = F.col("both") / F.col("n"), F.col("texts") / F.lit(max(texts, 1))
     told = F.when(own < 1, F.log(share / own) / F.log(1 / own) * F.col("k") / (F.col("k") + 1)).otherwise(0.0)
-    return pairs.join(every, "term").join(of_entity, "entity").where((share >= DISCLOSURE) & (told >= INFORMED)).select("entity", "term")
+    chosen = pairs.join(every, "term").join(of_entity, "entity").where((share >= DISCLOSURE) & (told >= INFORMED)).select("entity", "term")
+    return chosen, held.select("_a", "_b", "term")
 
 
 def find(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row of docs (doc_id, text; other columns are ignored) with its findings.
 
-    Returns doc_id, text, the columns of docs named in `keep`, and spans (kind, first, last, found: by kind as in KINDS, terms last, then by place). A null
-    text stays null and has none, as an empty one; rows with an equal or null doc_id are searched each by itself; an
-    empty table gives an empty result.
+    Returns doc_id, text, the columns of docs named in `keep` (but for those of the names that are returned anyway), and spans (kind, first,
+    last, found: by kind as in KINDS, terms last, then by place). A null text stays null and has none, as an empty one; rows with an
+    equal or null doc_id are searched each by itself; an empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    keep = kept_columns(keep, ("doc_id", "text", "spans"))
+    kept = [F.struct(*(F.col(c) for c in keep)).alias("_kept")] if keep else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *kept)
     # equal rows have equal findings, so a row's key is what it holds
-    key = [F.xxhash64("doc_id", "text").alias("_a"), F.hash("text", "doc_id").alias("_b")]
-    found = cut(docs.select(*key, "doc_id", "text", F.coalesce(base_spans(F.col("text")), F.array().cast(SPANS)).alias("spans")).where(F.size("spans") > 0), "entities")
-    terms = cut(disclosing_terms(docs, found), "terms")
-    own = docs.select(*key, F.explode(_words(F.col("text"))).alias("term")).join(terms.select("term").distinct(), "term").groupBy("_a", "_b").agg(F.collect_set("term").alias("terms"))
+    docs = docs.withColumns({"_a": F.xxhash64("doc_id", "text"), "_b": F.hash("text", "doc_id")})
+    found = cut(docs.select("_a", "_b", "text", F.coalesce(base_spans(F.col("text")), F.array().cast(SPANS)).alias("spans")).where(F.size("spans") > 0), "entities")
+    terms, held = disclosing_terms(docs, found)
+    own = held.join(cut(terms, "terms").select("term").distinct(), "term").groupBy("_a", "_b").agg(F.collect_set("term").alias("terms"))
     placed = F.filter(_placed(F.col("text"), WORD), lambda s: F.array_contains(F.col("terms"), _plain(s["found"])) & ~F.exists("spans", lambda b: (b["first"] < s["last"]) & (s["first"] < b["last"])))
-    none = F.array().cast(SPANS)
     base = found.select("_a", "_b", "spans").dropDuplicates(["_a", "_b"])
-    held = docs.select(*key, "text").join(own, ["_a", "_b"]).dropDuplicates(["_a", "_b"]).join(base, ["_a", "_b"], "left").withColumn("spans", F.coalesce("spans", none))
+    held = docs.select("_a", "_b", "text").join(own, ["_a", "_b"]).dropDuplicates(["_a", "_b"]).join(base, ["_a", "_b"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
     more = held.select("_a", "_b", F.concat("spans", _named("term", placed)).alias("all"))
     spans = base.join(more, ["_a", "_b"], "full").select("_a", "_b", F.coalesce("all", "spans").alias("spans"))
-    return docs.select(*key, "doc_id", "text", *keep).join(spans, ["_a", "_b"], "left").select("doc_id", "text", *keep, F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return docs.join(spans, ["_a", "_b"], "left").select("doc_id", "text", *(F.col(f"_kept.{c}").alias(c) for c in keep), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -83,3 +83,30 @@ def test_terms_of_two_surroundings_in_every_document(spark):
     assert terms(spark, texts[:2] + OTHERS) == {(0, "Li"), (1, "Li")}
     near = [f"a{k} b{k} Li bob@x.org c{k}" for k in range(6)]
     assert (6, "Li,") in terms(spark, [*near, texts[2], *OTHERS])
+
+
+def test_clashing_columns(spark, odd):
+    from pyspark.sql import functions as F
+
+    docs = odd.withColumns({c: F.lit(c) for c in ("spans", "_a", "_b", "_kept", "all", "terms", "of", "term")})
+    got = pii.find(docs, ("_a", "_kept", "spans", "text", "term", "all"))
+    assert got.columns == ["doc_id", "text", "_a", "_kept", "term", "all", "spans"]
+    assert {tuple(r) for r in got.select("_a", "_kept", "term", "all").collect()} == {("_a", "_kept", "term", "all")}
+    assert spans(got.collect()) == spans(pii.find(odd).collect())
+
+
+def test_many_findings_take_linear_time(spark):
+    import time
+
+    text = " ".join(f"a{k}@b.org" for k in range(32_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = frame.select(pii.base_spans(frame.text).alias("spans")).collect()[0].spans
+    assert [(s.kind, s.first, s.last) for s in got] == plain(text)
+    assert time.time() - began < 20
+
+
+def test_words_near_an_entity_however_long(spark):
+    """The words beside an entity count although hundreds of characters stand between."""
+    wide = [f"Zanzibar{' ' * 5000}{'y' * 900}{k} bob@x.org and{' ' * 400}more{k}" for k in range(3)]
+    assert "Zanzibar" in {t for _, t in terms(spark, wide + OTHERS)}
