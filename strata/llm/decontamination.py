@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.shared import cut, small_batches, table
+from strata.llm.shared import cut, kept_columns, small_batches, table
 
 #: 1: the word counts; 0: it may differ.
 MASKS = ("11111111", "111010010111", "110101101101", "101100111011")
@@ -26,6 +26,8 @@ MATCHES, SHORTEST = 12, 8
 SUBSTITUTION = -2
 BLOCK_BYTES = 16_000_000
 KNOWN_WORDS, FILTER_BITS = 500_000, 22
+#: Hits that are looked up at once, about.
+HITS = 1 << 20
 
 _BREAKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -81,31 +83,45 @@ class Index:
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[self.hashes >> np.uint64(64 - FILTER_BITS)] = True
 
-    def overlaps(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """Item, first word and end in the document, and matching words of each overlap that counts."""
-        seen: dict[tuple[int, int], int] = {}
-        found = []
-        hits = []
+    def diagonals(self, h: np.ndarray) -> np.ndarray:
+        """Item and diagonal (place in the document less place in the item) of all hits, each once. Hits are looked up HITS at a time: a word that
+        stands everywhere gives as many as there are pairs of its places, but few diagonals."""
+        out = np.zeros(0, dtype=np.int64)  # both in one number
         for mask in MASKS:
             seeds = seed_hashes(h, mask)
-            for p in np.flatnonzero(self.filter[seeds >> np.uint64(64 - FILTER_BITS)]).tolist():
-                low, high = np.searchsorted(self.hashes, seeds[p], "left"), np.searchsorted(self.hashes, seeds[p], "right")
-                hits += [(p, int(self.item[k]), int(self.at[k])) for k in range(low, high)]
-        for p, item, q in sorted(hits):
-            if seen.get((item, p - q), -1) >= p:  # within an overlap on this diagonal, or a failed one
-                continue
+            at = np.flatnonzero(self.filter[seeds >> np.uint64(64 - FILTER_BITS)])
+            low = np.searchsorted(self.hashes, seeds[at], "left")
+            count = np.searchsorted(self.hashes, seeds[at], "right") - low
+            at, low, count = at[count > 0], low[count > 0], count[count > 0]
+            part = np.cumsum(count) // HITS
+            for k in np.unique(part):
+                p, first, n = at[part == k], low[part == k], count[part == k]
+                hit = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                out = np.unique(np.concatenate([out, (self.item[hit] << 40) + np.repeat(p, n) - self.at[hit] + (1 << 39)]))
+        return np.column_stack([out >> 40, (out & ((1 << 40) - 1)) - (1 << 39)])
+
+    def overlaps(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Item, first word and end in the document, and matching words of each overlap that counts, by place."""
+        found = []
+        for item, d in self.diagonals(h).tolist():
             other = self.words[item]
-            low, high = min(p, q), min(len(h) - p, len(other) - q)
-            same = h[p - low : p + high] == other[q - low : q + high]
-            gain = np.where(same, 1, SUBSTITUTION)
-            right, left = np.cumsum(gain[low:]), np.cumsum(gain[:low][::-1])
-            end = p + int(right.argmax()) + 1
-            start = p - (int(left.argmax()) + 1 if len(left) and left.max() > 0 else 0)
-            n = int(same[start - p + low : end - p + low].sum())
-            seen[item, p - q] = end - 1
-            if n >= min(MATCHES, len(other)):
-                found.append((item, start, end, n))
-        return found
+            begin = max(0, d)
+            same = h[begin : min(len(h), d + len(other))] == other[begin - d : min(len(other), len(h) - d)]
+            hits = np.zeros(len(same), dtype=bool)
+            for mask in MASKS:
+                if (n := len(same) - len(mask) + 1) > 0:
+                    hits[:n] |= np.logical_and.reduce([same[k : k + n] for k, counts in enumerate(mask) if counts == "1"])
+            gain, reached = np.where(same, 1, SUBSTITUTION), 0
+            for p in np.flatnonzero(hits).tolist():
+                if p < reached:  # within an overlap, or one that failed
+                    continue
+                right, left = np.cumsum(gain[p:]), np.cumsum(gain[:p][::-1])
+                reached = p + int(right.argmax()) + 1
+                start = p - (int(left.argmax()) + 1 if len(left) and left.max() > 0 else 0)
+                n = int(same[start:reached].sum())
+                if n >= min(MATCHES, len(other)):
+                    found.append((item, begin + start, begin + reached, n))
+        return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -124,16 +140,17 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 def overlaps(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Holds docs (doc_id, text) against benchmark (item_id, text); other columns are ignored.
 
-    Returns a row for each row of docs: doc_id, the columns of docs named in `keep`, contaminated, items (ids of test items, sorted), and spans
-    (item_id, start and end in words of the document, matched). Null and empty texts are clean, and null items and
-    items of under SHORTEST words are not looked for; rows with an equal or null doc_id each get a row; an empty
-    benchmark leaves all clean.
+    Returns a row for each row of docs: doc_id, the columns of docs named in `keep` (but for those of the names that are returned anyway),
+    contaminated, items (ids of test items, sorted), and spans (item_id, start and end in words of the document, matched). Null and
+    empty texts are clean, and null items and items of under SHORTEST words are not looked for; rows with an equal or null
+    doc_id each get a row; an empty benchmark leaves all clean.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rest = [c for c in keep if c != "text"]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
-    carried = [c for c in docs.columns if c == "doc_id" or c in keep]
+    keep = kept_columns(keep, ("doc_id", "contaminated", "items", "spans"))
+    kept = [F.struct(*(F.col(c) for c in keep)).alias("_kept")] if keep else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *kept)
+    carried = [c for c in docs.columns if c != "text"]
     kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in carried)
     kinds = "spans array<struct<item_id: long, start: long, end: long, matched: long>>"
     passes = []
@@ -165,7 +182,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ())
         for x in passes[1:]:
             every = every.unionByName(cut(x, "pass"))
         found = every.groupBy("_row").agg(*(F.first(c, ignorenulls=True).alias(c) for c in carried), F.flatten(F.collect_list("spans")).alias("spans"))
-    return found.select(*carried, (F.size("spans") > 0).alias("contaminated"), F.array_sort(F.array_distinct("spans.item_id")).alias("items"), "spans")
+    return found.select("doc_id", *(F.col(f"_kept.{c}").alias(c) for c in keep), (F.size("spans") > 0).alias("contaminated"), F.array_sort(F.array_distinct("spans.item_id")).alias("items"), "spans")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from strata.llm import decontamination as d
 
@@ -63,3 +66,26 @@ def test_odd_rows(spark, odd, empty):
     assert sorted(r.doc_id for r in d.overlaps(odd, bench).collect() if r.contaminated) == [8]
     assert d.overlaps(empty, bench).count() == 0
     assert not any(r.contaminated or r["items"] for r in d.overlaps(odd, bench.limit(0)).collect())
+
+
+def test_clashing_columns(spark, odd):
+    docs = odd.withColumns({c: F.lit(c) for c in ("spans", "_row", "_kept", "items", "contaminated")})
+    bench = spark.createDataFrame([(1, "word word word word word word word word")], "item_id long, text string")
+    for size in (16_000_000, 1):
+        d.BLOCK_BYTES = size
+        got = d.overlaps(docs, bench.union(spark.createDataFrame([(2, "other " * 9)], bench.schema)), ("_row", "text", "spans", "_kept", "items"))
+        assert got.columns == ["doc_id", "_row", "text", "_kept", "contaminated", "items", "spans"]
+        assert {(r["_row"], r["_kept"]) for r in got.collect()} == {("_row", "_kept")}
+    d.BLOCK_BYTES = 16_000_000
+
+
+def test_one_word_everywhere():
+    """As many hits as pairs of places, on few diagonals."""
+    began = time.time()
+    index = d.Index([(k, b"word " * 400) for k in range(3)])
+    known = d.Hashes()
+    found = index.overlaps(d.word_hashes(b"word " * 3000, known))
+    assert time.time() - began < 10
+    # on each diagonal one overlap, as long as the diagonal, where that is long enough
+    want = {(i, max(0, s), min(3000, s + 400), min(3000, s + 400) - max(0, s)) for i in range(3) for s in range(-399, 3000)}
+    assert set(found) == {x for x in want if x[3] >= d.MATCHES} and len(found) == len(set(found))
