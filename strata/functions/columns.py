@@ -64,3 +64,19 @@ def haversine_km(lat: Column, lon: Column, lat0: float, lon0: float) -> Column:
     """Great-circle distance to a point."""
     a = F.pow(F.sin(F.radians(lat - lat0) / 2), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(F.lit(lat0))) * F.pow(F.sin(F.radians(lon - lon0) / 2), 2)
     return 2 * 6371.0 * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+
+
+def clean_status(column: Column) -> Column:
+    """Text without space around it, in lower case; null where nothing is left."""
+    return F.nullif(F.lower(F.trim(column)), F.lit(""))
+
+
+def parsed_date(column: Column, *formats: str) -> Column:
+    """The date by the first format that fits; null where none does."""
+    return F.coalesce(*(F.try_to_timestamp(column, F.lit(f)) for f in formats)).cast("date")
+
+
+def days_between(start: Column, end: Column) -> Column:
+    """Whole days from start to end; null where one is missing or the end comes first."""
+    days = F.datediff(end, start)
+    return F.when(days >= 0, days)

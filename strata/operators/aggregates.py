@@ -47,9 +47,10 @@ def partition_health(df: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("partitions"), F.sum("n_rows").alias("n_rows"), F.avg("n_rows").alias("mean"), F.stddev_pop("n_rows").alias("deviation"), F.max("n_rows").alias("largest"), (F.max("n_rows") / F.avg("n_rows")).alias("max_to_mean"))
 
 
-def replicate(df: DataFrame, n: int, key: str) -> DataFrame:
-    """Every row n times, with keys of its own: for tests at scale."""
-    return df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(key, F.concat(F.col(key).cast("string"), F.lit("-"), F.col("_copy"))).drop("_copy")
+def replicate(df: DataFrame, n: int, key: str, day: str | None = None, shift_days: int = 0) -> DataFrame:
+    """Every row n times, with keys of its own, and each copy so many days later than the one before: for tests at scale."""
+    out = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(key, F.concat(F.col(key).cast("string"), F.lit("-"), F.col("_copy")))
+    return (out.withColumn(day, F.date_add(F.col(day), F.col("_copy") * shift_days)) if day else out).drop("_copy")
 
 
 def inject_skew(df: DataFrame, key: str, share: float, value) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.columns import hash_diff
-from strata.operators.joins import assert_unique
+from strata.operators.joins import assert_unique, missing_null_safe
 from strata.operators.windows import latest_per_key
 
 OPEN_END = "9999-12-31"
@@ -36,15 +36,15 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str]) -> Dat
     """target after changes: deletes go, updates replace, inserts come; a delete of an unknown key does nothing.
     Applying the same changes once more changes nothing."""
     last = last_changes(changes, keys)
-    return target.join(last.select(*keys), keys, "left_anti").unionByName(last.where("op <> 'd'").select(*target.columns))
+    return missing_null_safe(target, last, keys).unionByName(last.where("op <> 'd'").select(*target.columns))
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], check: bool = True) -> DataFrame:
     """updates, one row a key, replace or join the target; several rows a key are refused, unless the caller knows that
-    there are none."""
+    there are none. Null keys are one key."""
     if check:
         assert_unique(updates, keys)
-    return target.join(updates.select(*keys), keys, "left_anti").unionByName(updates.select(*target.columns))
+    return missing_null_safe(target, updates, keys).unionByName(updates.select(*target.columns))
 
 
 def current_state(changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -32,6 +32,12 @@ def join_null_safe(a: DataFrame, b: DataFrame, key: str, how: str = "inner") ->
     return a.join(other, F.col(key).eqNullSafe(F.col(f"_{key}")), how).drop(f"_{key}")
 
 
+def missing_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a whose key b lacks; null keys match each other."""
+    other = b.select(*(F.col(k).alias(f"_{k}") for k in keys))
+    return a.join(other, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
     """Points with low <= point < high. Both sides are cut into cells of a width and meet by cell, so no pair of rows
     from different cells is ever formed; width should be near the usual length of a range."""

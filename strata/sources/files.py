@@ -13,7 +13,7 @@ CORRUPT = "_corrupt_record"
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "PERMISSIVE", **options) -> DataFrame:
     """A CSV file, or a folder of parts with a header each. mode: PERMISSIVE, DROPMALFORMED or FAILFAST."""
-    return spark.read.schema(schema).options(header=True, mode=mode, columnNameOfCorruptRecord=CORRUPT, **options).csv(path)
+    return spark.read.schema(schema).options(**{"header": True, "mode": mode, "columnNameOfCorruptRecord": CORRUPT} | options).csv(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

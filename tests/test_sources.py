@@ -89,3 +89,14 @@ def test_repair_rewrites_what_a_late_version_changes(spark, tmp_path):
     after = {p: os.path.getmtime(p) for p in glob.glob(f"{at}/*/*.parquet")}
     assert {p.split("/")[-2] for p in before.items() ^ after.items() for p in [p[0]]} == {"year=2021"}
     assert facts.repair(spark, at, now, late, "k", "at", ["year"]).isEmpty() and len(names(now)) == 8
+
+
+def test_upserts_of_null_keys_are_replayed_once(spark):
+    from strata.operators import changes
+
+    target = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    change = spark.createDataFrame([(None, "c"), (2, "d")], "k int, v string")
+    once = changes.upsert(target, change, ["k"])
+    assert sorted(map(tuple, changes.upsert(once, change, ["k"]).collect()), key=repr) == sorted([(1, "a"), (None, "c"), (2, "d")], key=repr)
+    log = change.withColumns({"op": F.lit("d"), "ts_ms": F.lit(1), "lsn": F.lit(1)})
+    assert [tuple(r) for r in changes.apply_changes(once, log, ["k"]).collect()] == [(1, "a")]
