@@ -32,6 +32,8 @@ SEED = 42
 SAMPLE, SHARD = 16_384, 512
 #: A shard is divided until its parts are so small.
 BLOCK = 512
+#: Points of a shard that a task takes at once, about; a larger shard is dealt to tasks by pairs of such parts.
+MOST = 1 << 20
 #: near_duplicates: trees and bits of a tree's fingerprint, those of the wide one (the first trees' together); distance of
 #: links. Of texts at a similarity of 0.8, 0.367 are within 2 of 32 bits, and 0.996 so in one of 12 trees.
 TREES, TREE_BITS, WIDE_BITS, RADIUS = 12, 32, 256, 2
@@ -211,29 +213,59 @@ def shard_pairs(points: np.ndarray, near: int, wide: np.ndarray, wide_near: int,
     return pairs // n, pairs % n
 
 
+def pair_numbers(part: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of points in a part of a shard of so many, which point it is and the number of each pair of parts that it belongs to."""
+    rows = np.repeat(np.arange(len(part)), parts)
+    other = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
+    own = part[rows]
+    return rows, np.minimum(own, other) * parts[rows] + np.maximum(own, other)
+
+
 def routed(points: DataFrame, near: int) -> DataFrame:
     """points: id (long), prints (binary: fingerprints of eight bytes, the greatest first, one a tree), wide (binary, may be
-    empty). Returns shard, id, print and wide: each point in all shards that it goes to."""
+    empty). Returns shard, pair, id, print and wide: each point in all shards that it goes to. A shard of more than MOST points is dealt out in parts,
+    and its points stand with each pair of parts that they belong to, so that any two of them still meet and no group grows with the data."""
     spark = points.sparkSession
     n = points.count()
     sample = spread_sample(points, "id", SAMPLE, n).select("prints").toPandas()["prints"]
     prints = np.frombuffer(b"".join(sample), dtype=">u8").astype(np.uint64).reshape(len(sample), -1) if len(sample) else np.zeros((0, 1), dtype=np.uint64)
     trees = spark.sparkContext.broadcast([Tree(np.unique(prints[:, k]), math.ceil(n / SHARD), near) for k in range(prints.shape[1])])
 
+    def each(batches: Iterator) -> Iterator:
+        """For each batch and tree: the batch, all fingerprints of the tree, and which go to which shard."""
+        for batch in batches:
+            if batch.num_rows:
+                raw = batch.column(1).to_pylist()
+                all_prints = np.frombuffer(b"".join(raw), dtype=">u8").astype(np.uint64).reshape(len(raw), -1)
+                for k, tree in enumerate(trees.value):
+                    rows, shards = tree.route(all_prints[:, k])
+                    yield batch, all_prints[:, k], rows, shards + k * 1_000_000
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for *_, shards in each(batches):
+            names, sizes = np.unique(shards, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], names=["shard", "n"])
+
+    # as many rows as the trees have leaves, which a sample of SAMPLE bounds
+    sizes = points.select("id", "prints").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > MOST).collect()
+    parts_of = {r["shard"]: math.ceil(r["n"] / MOST) for r in sizes}
+
     def route(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, raw, wide = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-            all_prints = np.frombuffer(b"".join(raw), dtype=">u8").astype(np.uint64).reshape(len(raw), -1)
-            for k, tree in enumerate(trees.value):
-                rows, shards = tree.route(all_prints[:, k])
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(shards + k * 1_000_000), ids.take(take), pa.array(all_prints[rows, k].astype("<u8").view(np.int64)), wide.take(take)], names=["shard", "id", "print", "wide"])
+        for batch, prints, rows, shards in each(batches):
+            pair = np.zeros(len(rows), dtype=np.int64)
+            if parts_of:
+                parts = np.array([parts_of.get(x, 1) for x in shards.tolist()], dtype=np.int64)
+                part = (mixed(np.asarray(batch.column(0)).view(np.uint64)[rows], 2) % parts.astype(np.uint64)).astype(np.int64)
+                copies, pair = pair_numbers(part, parts)
+                rows, shards = rows[copies], shards[copies]
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(pair), batch.column(0).take(take), pa.array(prints[rows].astype("<u8").view(np.int64)), batch.column(2).take(take)], names=["shard", "pair", "id", "print", "wide"])
 
-    return points.select("id", "prints", "wide").mapInArrow(route, "shard long, id long, print long, wide binary")
+    return points.select("id", "prints", "wide").mapInArrow(route, "shard long, pair long, id long, print long, wide binary")
 
 
 def links(points: DataFrame, near: int) -> DataFrame:
@@ -248,7 +280,7 @@ def links(points: DataFrame, near: int) -> DataFrame:
         far = root != np.arange(len(ids))
         return pa.table({"a": ids[far], "b": ids[root[far]]})
 
-    return routed(points, near).groupBy("shard").applyInArrow(link, "a long, b long")
+    return routed(points, near).groupBy("shard", "pair").applyInArrow(link, "a long, b long")
 
 
 def candidates(points: DataFrame, near: int, wide_near: int) -> DataFrame:
@@ -266,7 +298,7 @@ def candidates(points: DataFrame, near: int, wide_near: int) -> DataFrame:
         a, b = shard_pairs(prints, near, wide[:, 1:], wide_near, wide[:, 0]) if labelled else shard_pairs(prints, near, wide, wide_near)
         return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
 
-    return routed(points, near).groupBy("shard").applyInArrow(pair, "a long, b long").distinct()
+    return routed(points, near).groupBy("shard", "pair").applyInArrow(pair, "a long, b long").distinct()
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -391,9 +423,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     """
     small_batches(docs.sparkSession)
     docs = docs.where("doc_id IS NOT NULL")
-    found = cut(signatures(docs, words), "signatures").withColumn("id", F.xxhash64("key"))
-    # copies, however many, are one point
-    points = cut(found.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("prints").alias("prints"), F.first("wide").alias("wide")), "points")
+    found = cut(signatures(docs, words), "signatures")
+    # copies, however many, are one point, known by the 128 bits of its words; the table gives it a number
+    points = found.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("prints").alias("prints"), F.first("wide").alias("wide"))
+    points = cut(points.withColumn("id", F.monotonically_increasing_id()), "points")
     # the nearest of each point are compared first; of what they don't link, all pairs
     limit = wide_distance(similarity)
     pairs = cut(candidates(points, RADIUS, limit), "pairs")
@@ -403,10 +436,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     labelled = met.join(components(sure).withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     rest = cut(candidates(cut(labelled, "labelled"), RADIUS, limit).join(pairs, ["a", "b"], "left_anti"), "pairs")
     roots = components(sure.union(alike(rest, sets, similarity)))
-    root = points.join(roots, "id", "left").select("id", "at", F.coalesce("root", "id").alias("root"))
+    root = points.join(roots, "id", "left").select("key", "at", F.coalesce("root", "id").alias("root"))
     first = root.groupBy("root").agg(F.min("at").alias("first"))
-    group = cut(root.join(first, "root").select("id", "first"), "groups")
-    return found.select("doc_id", "text_hash", "id").join(group, "id").select("doc_id", "text_hash", F.col("first.doc_id").alias("group"), (F.col("first") == F.struct("doc_id", "text_hash")).alias("first"))
+    group = cut(root.join(first, "root").select("key", "first"), "groups")
+    return found.select("doc_id", "text_hash", "key").join(group, "key").select("doc_id", "text_hash", F.col("first.doc_id").alias("group"), (F.col("first") == F.struct("doc_id", "text_hash")).alias("first"))
 
 
 QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}

@@ -125,3 +125,23 @@ def test_rows_of_one_id(spark):
     rows = [(3, "one two three four five six"), (5, "One two three four five six"), (5, "something else that stands alone here"), (5, "something ELSE that stands alone here")]
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.group, r.first) for r in got) == [(3, 3, True), (5, 3, False), (5, 5, False), (5, 5, True)]
+
+
+def test_shards_dealt_by_pairs_of_parts_link_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def both():
+        a = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.fingerprint_groups(docs).collect())
+        b = sorted((r.doc_id, r.group, r.first) for r in simhash.near_duplicates(docs).collect())
+        return a, b
+
+    whole = both()
+    monkeypatch.setattr(simhash, "MOST", 20)  # shards of about fifty parts
+    assert both() == whole
+
+
+def test_every_two_points_of_a_shard_meet():
+    part = np.array([0, 1, 2, 0, 1, 3])
+    rows, pairs = simhash.pair_numbers(part, np.full(6, 4))
+    met = {frozenset((a, b)) for p in set(pairs.tolist()) for a in rows[pairs == p].tolist() for b in rows[pairs == p].tolist()}
+    assert len(met) == 6 * 7 // 2 and len(rows) == 24
