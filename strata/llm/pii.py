@@ -155,8 +155,11 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, Data
     near = spans.select(_entity(s).alias("entity"), as_text, F.array_distinct(F.transform(F.concat(_nearest(text, s, True), _nearest(text, s, False)), _plain)).alias("words"))
     near = cut(near.withColumn("around", F.xxhash64("words")).dropDuplicates(["entity", "of", "around"]), "near")
     # a hot entity's surroundings meet only per term
-    pairs = near.select("entity", "of", "around", F.explode("words").alias("term")).where(~F.col("term").rlike(r"^[\p{N}.:-]*$|@"))
-    pairs = cut(pairs.groupBy("entity", "term").agg(F.count_distinct("of").alias("both"), F.count_distinct("around").alias("k")).where(F.col("k") / (F.col("k") + 1) >= INFORMED), "pairs")
+    each = near.select("entity", "of", "around", F.explode("words").alias("term")).where(~F.col("term").rlike(r"^[\p{N}.:-]*$|@"))
+    pairs = each.groupBy("entity", "term").agg(F.count_distinct("of").alias("both"), F.count_distinct("around").alias("k")).where(F.col("k") / (F.col("k") + 1) >= INFORMED)
+    # a term's texts are at least those in which it stands near any entity: what has no share of these can't have one of all
+    beside = each.groupBy("term").agg(F.count_distinct("of").alias("beside"))
+    pairs = cut(pairs.join(beside, "term").where(F.col("both") >= DISCLOSURE * F.col("beside")).drop("beside"), "pairs")
     terms = cut(pairs.select("term").distinct(), "words")
     # all words of all texts are looked at once; what is kept are the candidates'
     held = cut(docs.select("_a", "_b", as_text, F.explode(_words(text)).alias("term")).join(terms, "term", "left_semi"), "held")
