@@ -18,6 +18,7 @@ drop what is far, and the shingles themselves then decide.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,14 @@ from strata.llm.shared import cut, small_batches, spread_sample, table
 
 SEED = 42
 #: Fingerprints that the trees are fitted on at most, and those that a shard should hold.
-SAMPLE, SHARD = 16_384, 512
+SAMPLE, SHARD = 16_384, 4096
 #: A shard is divided until its parts are so small.
 BLOCK = 512
 #: Points of a shard that a task takes at once, about; a larger shard is dealt to tasks by pairs of such parts.
 MOST = 1 << 20
 #: near_duplicates: trees and bits of a tree's fingerprint, those of the wide one (the first trees' together); distance of
 #: links. Of texts at a similarity of 0.8, 0.367 are within 2 of 32 bits, and 0.996 so in one of 12 trees.
-TREES, TREE_BITS, WIDE_BITS, RADIUS = 12, 32, 256, 2
+TREES, TREE_BITS, WIDE_BITS, RADIUS = 12, 32, 384, 2
 SHINGLE, SIMILARITY = 5, 0.8
 #: Pairs that share one copy of a text's shingles when they are compared.
 HOT = 256
@@ -184,15 +185,15 @@ def link_shard(points: np.ndarray, near: int) -> np.ndarray:
     return groups.root
 
 
-def shard_pairs(points: np.ndarray, near: int, wide: np.ndarray, wide_near: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a shard within `near` whose wide fingerprints are within wide_near: with labels, all whose labels differ;
-    without, of each fingerprint the one with the nearest wide fingerprint."""
+def shard_pairs(points: np.ndarray, near: int, wide: np.ndarray, wide_near: int, label: np.ndarray | None = None, size: np.ndarray | None = None, share: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a shard within `near` whose wide fingerprints are within wide_near: with labels, all whose labels differ and of whose
+    sizes the smaller is that share of the larger or more; without, of each fingerprint the one with the nearest wide fingerprint."""
     n, out = len(points), []
     best, to = np.full(n, wide_near + 1), np.zeros(n, dtype=np.int64)
     for x, y in blocks(points, near):
         a, b = np.nonzero(np.bitwise_count(points[x][:, None] ^ points[y][None, :]) <= near)
         a, b = x[a], y[b]
-        go = a != b if label is None else label[a] != label[b]
+        go = a != b if label is None else (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= share * np.maximum(size[a], size[b]) - 1e-9)
         a, b = a[go], b[go]
         d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
         a, b, d = a[d <= wide_near], b[d <= wide_near], d[d <= wide_near]
@@ -244,9 +245,11 @@ def routed(points: DataFrame, near: int) -> DataFrame:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        total: Counter[int] = Counter()
         for *_, shards in each(batches):
             names, sizes = np.unique(shards, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], names=["shard", "n"])
+            total.update(dict(zip(names.tolist(), sizes.tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["shard", "n"])
 
     # as many rows as the trees have leaves, which a sample of SAMPLE bounds
     sizes = points.select("id", "prints").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > MOST).collect()
@@ -283,19 +286,19 @@ def links(points: DataFrame, near: int) -> DataFrame:
     return routed(points, near).groupBy("shard", "pair").applyInArrow(link, "a long, b long")
 
 
-def candidates(points: DataFrame, near: int, wide_near: int) -> DataFrame:
-    """points as routed() takes them, and label (long) where only pairs of different labels are wanted, all of them;
-    else there is the nearest of each point in each shard. Returns a < b."""
+def candidates(points: DataFrame, near: int, wide_near: int, share: float = 0.0) -> DataFrame:
+    """points as routed() takes them, and label and size (long) where only pairs of different labels are wanted, all of them whose sizes could
+    have that share in common; else there is the nearest of each point in each shard. Returns a < b."""
     labelled = "label" in points.columns
     if labelled:
-        points = points.withColumn("wide", F.concat(F.unhex(F.lpad(F.hex("label"), 16, "0")), "wide"))
+        points = points.withColumn("wide", F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("label", "size")), "wide"))
 
     def pair(t):
         import pyarrow as pa
 
         ids, prints = t.column("id").to_numpy(), t.column("print").to_numpy().view(np.uint64)
         wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), dtype="<u8").reshape(len(ids), -1)
-        a, b = shard_pairs(prints, near, wide[:, 1:], wide_near, wide[:, 0]) if labelled else shard_pairs(prints, near, wide, wide_near)
+        a, b = shard_pairs(prints, near, wide[:, 2:], wide_near, wide[:, 0], wide[:, 1].byteswap().astype(np.int64), share) if labelled else shard_pairs(prints, near, wide, wide_near)
         return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
 
     return routed(points, near).groupBy("shard", "pair").applyInArrow(pair, "a long, b long").distinct()
@@ -434,7 +437,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     sets = cut(shingle_sets(docs, met.select("id", "at.*"), words), "sets")
     sure = cut(alike(pairs, sets, similarity), "links")
     labelled = met.join(components(sure).withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    rest = cut(candidates(cut(labelled, "labelled"), RADIUS, limit).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    # sets that share 0.8 of their elements are no more unlike in size
+    labelled = labelled.join(sets.select("id", (F.octet_length("set") / 8).cast("long").alias("size")), "id")
+    rest = cut(candidates(cut(labelled, "labelled"), RADIUS, limit, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
     roots = components(sure.union(alike(rest, sets, similarity)))
     root = points.join(roots, "id", "left").select("key", "at", F.coalesce("root", "id").alias("root"))
     first = root.groupBy("root").agg(F.min("at").alias("first"))
