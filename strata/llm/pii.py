@@ -29,6 +29,8 @@ PATTERNS = {
 #: Words on either side of an entity that count as near it, share of texts and share of what there is to tell that disclose.
 NEAR, DISCLOSURE, INFORMED = 8, 0.5, 0.6
 WORD = r"[^\x20\x09-\x0D]+"
+#: Candidates that are sent to all tasks; with more, the words of all texts are dealt out by word and meet them there.
+SENT = 500_000
 #: Findings of a text that are placed together.
 BLOCK = 256
 #: Characters on either side of an entity in which the nearest words are looked for; if there are too few, in the next number of them, and at last in all.
@@ -161,6 +163,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, Data
     beside = each.groupBy("term").agg(F.count_distinct("of").alias("beside"))
     pairs = cut(pairs.join(beside, "term").where(F.col("both") >= DISCLOSURE * F.col("beside")).drop("beside"), "pairs")
     terms = cut(pairs.select("term").distinct(), "words")
+    if terms.count() <= SENT:
+        terms = F.broadcast(terms)
     # all words of all texts are looked at once; what is kept are the candidates'
     held = cut(docs.select("_a", "_b", as_text, F.explode(_words(text)).alias("term")).join(terms, "term", "left_semi"), "held")
     every = held.select("of", "term").distinct().groupBy("term").agg(F.count("*").alias("n"))
