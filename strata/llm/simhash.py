@@ -30,7 +30,9 @@ from strata.llm.shared import cut, small_batches, spread_sample, table
 
 SEED = 42
 #: Fingerprints that the trees are fitted on at most, and those that a shard should hold.
-SAMPLE, SHARD = 16_384, 4096
+SAMPLE, SHARD = 16_384, 32_768
+#: Points that a task routes at once.
+HELD = 16_384
 #: A shard is divided until its parts are so small.
 BLOCK = 512
 #: Points of a shard that a task takes at once, about; a larger shard is dealt to tasks by pairs of such parts.
@@ -185,9 +187,9 @@ def link_shard(points: np.ndarray, near: int) -> np.ndarray:
     return groups.root
 
 
-def shard_pairs(points: np.ndarray, near: int, wide: np.ndarray, wide_near: int, label: np.ndarray | None = None, size: np.ndarray | None = None, share: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a shard within `near` whose wide fingerprints are within wide_near: with labels, all whose labels differ and of whose
-    sizes the smaller is that share of the larger or more; without, of each fingerprint the one with the nearest wide fingerprint."""
+def shard_pairs(points: np.ndarray, near: int, wide: np.ndarray, wide_near: int, label: np.ndarray | None = None, size: np.ndarray | None = None, share: float = 0.0, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a shard within `near` whose wide fingerprints are within wide_near; with labels, those whose labels differ and of whose
+    sizes the smaller is that share of the larger or more. Of each fingerprint there is the one with the nearest wide fingerprint, or every one."""
     n, out = len(points), []
     best, to = np.full(n, wide_near + 1), np.zeros(n, dtype=np.int64)
     for x, y in blocks(points, near):
@@ -197,7 +199,7 @@ def shard_pairs(points: np.ndarray, near: int, wide: np.ndarray, wide_near: int,
         a, b = a[go], b[go]
         d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
         a, b, d = a[d <= wide_near], b[d <= wide_near], d[d <= wide_near]
-        if label is not None:
+        if every:
             out.append((np.minimum(a, b), np.maximum(a, b)))
             continue
         for p, q in ((a, b), (b, a)):
@@ -207,7 +209,7 @@ def shard_pairs(points: np.ndarray, near: int, wide: np.ndarray, wide_near: int,
             p, q, e = p[first], q[first], e[first]
             less = e < best[p]
             best[p[less]], to[p[less]] = e[less], q[less]
-    if label is None:
+    if not every:
         a = np.flatnonzero(best <= wide_near)
         return a, to[a]
     pairs = np.unique(np.concatenate([a * n + b for a, b in out])) if out else np.zeros(0, dtype=np.int64)
@@ -222,10 +224,37 @@ def pair_numbers(part: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.nd
     return rows, np.minimum(own, other) * parts[rows] + np.maximum(own, other)
 
 
+def held(batches: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Arrow batches of id, prints and wide as arrays of bytes, a row for each of some HELD points."""
+    parts, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            ids = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False), dtype="<i8").view(np.uint8).reshape(-1, 8)
+            parts.append((ids, *(np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(len(ids), -1 if len(c[0].as_py()) else 0) for c in batch.columns[1:])))
+            n += len(ids)
+        if n >= HELD:
+            yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+            parts, n = [], 0
+    if parts:
+        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def packed(records: np.ndarray) -> bytes:
+    """Rows of bytes as one string, column by column: a column in which rows hardly differ takes next to nothing when compressed."""
+    return np.ascontiguousarray(records.T).tobytes()
+
+
+def unpacked(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, fingerprints and wide fingerprints (numbers of 64 bits) of a shard's rows as routed() packs them."""
+    records = np.concatenate([np.frombuffer(b, dtype=np.uint8).reshape(-1, n).T for n, b in zip(t.column("n").to_pylist(), t.column("data").to_pylist(), strict=True)])
+    whole = np.ascontiguousarray(records).view("<u8")
+    return whole[:, 0].astype(np.int64), whole[:, 1].astype(np.uint64), whole[:, 2:]
+
+
 def routed(points: DataFrame, near: int) -> DataFrame:
-    """points: id (long), prints (binary: fingerprints of eight bytes, the greatest first, one a tree), wide (binary, may be
-    empty). Returns shard, pair, id, print and wide: each point in all shards that it goes to. A shard of more than MOST points is dealt out in parts,
-    and its points stand with each pair of parts that they belong to, so that any two of them still meet and no group grows with the data."""
+    """points: id (long), prints (binary: fingerprints of eight bytes, the greatest first, one a tree), wide (binary of a multiple of eight bytes, may
+    be empty). Returns shard, pair, n and data: each point in all shards that it goes to, n of them packed into a row. A shard of more than MOST points
+    is dealt out in parts, and its points stand with each pair of parts that they belong to, so that any two of them still meet and no group grows with the data."""
     spark = points.sparkSession
     n = points.count()
     sample = spread_sample(points, "id", SAMPLE, n).select("prints").toPandas()["prints"]
@@ -233,14 +262,12 @@ def routed(points: DataFrame, near: int) -> DataFrame:
     trees = spark.sparkContext.broadcast([Tree(np.unique(prints[:, k]), math.ceil(n / SHARD), near) for k in range(prints.shape[1])])
 
     def each(batches: Iterator) -> Iterator:
-        """For each batch and tree: the batch, all fingerprints of the tree, and which go to which shard."""
-        for batch in batches:
-            if batch.num_rows:
-                raw = batch.column(1).to_pylist()
-                all_prints = np.frombuffer(b"".join(raw), dtype=">u8").astype(np.uint64).reshape(len(raw), -1)
-                for k, tree in enumerate(trees.value):
-                    rows, shards = tree.route(all_prints[:, k])
-                    yield batch, all_prints[:, k], rows, shards + k * 1_000_000
+        """For some points and each tree: ids, fingerprints of the tree and wide ones, and which go to which shard."""
+        for ids, raw, wide in held(batches):
+            all_prints = raw.view(">u8").astype("<u8")
+            for k, tree in enumerate(trees.value):
+                rows, shards = tree.route(all_prints[:, k])
+                yield ids, all_prints[:, k], wide, rows, shards + k * 1_000_000
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -252,23 +279,27 @@ def routed(points: DataFrame, near: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["shard", "n"])
 
     # as many rows as the trees have leaves, which a sample of SAMPLE bounds
-    sizes = points.select("id", "prints").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > MOST).collect()
+    sizes = points.select("id", "prints", F.lit(b"").alias("wide")).mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > MOST).collect()
     parts_of = {r["shard"]: math.ceil(r["n"] / MOST) for r in sizes}
 
     def route(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch, prints, rows, shards in each(batches):
+        for ids, prints, wide, rows, shards in each(batches):
             pair = np.zeros(len(rows), dtype=np.int64)
             if parts_of:
                 parts = np.array([parts_of.get(x, 1) for x in shards.tolist()], dtype=np.int64)
-                part = (mixed(np.asarray(batch.column(0)).view(np.uint64)[rows], 2) % parts.astype(np.uint64)).astype(np.int64)
+                part = (mixed(ids.view("<u8")[rows, 0], 2) % parts.astype(np.uint64)).astype(np.int64)
                 copies, pair = pair_numbers(part, parts)
                 rows, shards = rows[copies], shards[copies]
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(pair), batch.column(0).take(take), pa.array(prints[rows].astype("<u8").view(np.int64)), batch.column(2).take(take)], names=["shard", "pair", "id", "print", "wide"])
+            order = np.lexsort((rows, pair, shards))
+            rows, shards, pair = rows[order], shards[order], pair[order]
+            records = np.concatenate([ids, np.ascontiguousarray(prints).view(np.uint8).reshape(-1, 8), wide], axis=1)
+            first = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (pair[1:] != pair[:-1])])
+            runs = np.split(rows, first[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(shards[first]), pa.array(pair[first]), pa.array([len(r) for r in runs], pa.int32()), pa.array([packed(records[r]) for r in runs], pa.binary())], names=["shard", "pair", "n", "data"])
 
-    return points.select("id", "prints", "wide").mapInArrow(route, "shard long, pair long, id long, print long, wide binary")
+    return points.select("id", "prints", "wide").mapInArrow(route, "shard long, pair long, n int, data binary")
 
 
 def links(points: DataFrame, near: int) -> DataFrame:
@@ -278,7 +309,7 @@ def links(points: DataFrame, near: int) -> DataFrame:
     def link(t):
         import pyarrow as pa
 
-        ids, prints = t.column("id").to_numpy(), t.column("print").to_numpy().view(np.uint64)
+        ids, prints, _ = unpacked(t)
         root = link_shard(prints, near)
         far = root != np.arange(len(ids))
         return pa.table({"a": ids[far], "b": ids[root[far]]})
@@ -286,9 +317,9 @@ def links(points: DataFrame, near: int) -> DataFrame:
     return routed(points, near).groupBy("shard", "pair").applyInArrow(link, "a long, b long")
 
 
-def candidates(points: DataFrame, near: int, wide_near: int, share: float = 0.0) -> DataFrame:
-    """points as routed() takes them, and label and size (long) where only pairs of different labels are wanted, all of them whose sizes could
-    have that share in common; else there is the nearest of each point in each shard. Returns a < b."""
+def candidates(points: DataFrame, near: int, wide_near: int, share: float = 0.0, every: bool = False) -> DataFrame:
+    """points as routed() takes them, and label and size (long) where only pairs of different labels are wanted, whose sizes could have that
+    share in common. Returns a < b: the nearest of each point in each shard, or every pair."""
     labelled = "label" in points.columns
     if labelled:
         points = points.withColumn("wide", F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("label", "size")), "wide"))
@@ -296,9 +327,9 @@ def candidates(points: DataFrame, near: int, wide_near: int, share: float = 0.0)
     def pair(t):
         import pyarrow as pa
 
-        ids, prints = t.column("id").to_numpy(), t.column("print").to_numpy().view(np.uint64)
-        wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), dtype="<u8").reshape(len(ids), -1)
-        a, b = shard_pairs(prints, near, wide[:, 2:], wide_near, wide[:, 0], wide[:, 1].byteswap().astype(np.int64), share) if labelled else shard_pairs(prints, near, wide, wide_near)
+        ids, prints, wide = unpacked(t)
+        of = (wide[:, 2:], wide_near, wide[:, 0], wide[:, 1].byteswap().astype(np.int64), share) if labelled else (wide, wide_near)
+        a, b = shard_pairs(prints, near, *of, every=every)
         return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
 
     return routed(points, near).groupBy("shard", "pair").applyInArrow(pair, "a long, b long").distinct()
@@ -430,17 +461,20 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     # copies, however many, are one point, known by the 128 bits of its words; the table gives it a number
     points = found.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("prints").alias("prints"), F.first("wide").alias("wide"))
     points = cut(points.withColumn("id", F.monotonically_increasing_id()), "points")
-    # the nearest of each point are compared first; of what they don't link, all pairs
+    # the nearest of each point are compared first
     limit = wide_distance(similarity)
     pairs = cut(candidates(points, RADIUS, limit), "pairs")
     met = cut(points.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), "met")
     sets = cut(shingle_sets(docs, met.select("id", "at.*"), words), "sets")
-    sure = cut(alike(pairs, sets, similarity), "links")
-    labelled = met.join(components(sure).withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    linked, tried = cut(alike(pairs, sets, similarity), "links"), pairs
     # sets that share 0.8 of their elements are no more unlike in size
-    labelled = labelled.join(sets.select("id", (F.octet_length("set") / 8).cast("long").alias("size")), "id")
-    rest = cut(candidates(cut(labelled, "labelled"), RADIUS, limit, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    roots = components(sure.union(alike(rest, sets, similarity)))
+    sized = cut(met.select("id", "prints", "wide").join(sets.select("id", (F.octet_length("set") / 8).cast("long").alias("size")), "id"), "sized")
+    # then the nearest of each point in another group, so that a group of many near copies is one before all other pairs are listed
+    for every in (False, True):
+        labelled = sized.join(components(linked).withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        rest = cut(candidates(cut(labelled, "labelled"), RADIUS, limit, similarity, every).join(tried, ["a", "b"], "left_anti"), "pairs")
+        linked, tried = linked.union(cut(alike(rest, sets, similarity), "links")), tried.union(rest)
+    roots = components(linked)
     root = points.join(roots, "id", "left").select("key", "at", F.coalesce("root", "id").alias("root"))
     first = root.groupBy("root").agg(F.min("at").alias("first"))
     group = cut(root.join(first, "root").select("key", "first"), "groups")
