@@ -43,6 +43,10 @@ TREES, TREE_BITS, WIDE_BITS, RADIUS = 12, 32, 384, 2
 SHINGLE, SIMILARITY = 5, 0.8
 #: Pairs that share one copy of a text's shingles when they are compared.
 HOT = 256
+#: Bytes of sets that a task compares, about, and elements that it looks at together.
+SET_BYTES, COLUMNS = 32 << 20, 4096
+#: More than the nodes of a tree; a shard's number tells its tree.
+TREE_SHARDS = 1_000_000
 _ORDERS = np.random.default_rng(SEED).integers(0, 2**63, TREES * TREE_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(16)], dtype=np.uint64)
 
@@ -187,33 +191,83 @@ def link_shard(points: np.ndarray, near: int) -> np.ndarray:
     return groups.root
 
 
-def shard_pairs(points: np.ndarray, near: int, wide: np.ndarray, wide_near: int, label: np.ndarray | None = None, size: np.ndarray | None = None, share: float = 0.0, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a shard within `near` whose wide fingerprints are within wide_near; with labels, those whose labels differ and of whose
-    sizes the smaller is that share of the larger or more. Of each fingerprint there is the one with the nearest wide fingerprint, or every one."""
-    n, out = len(points), []
-    best, to = np.full(n, wide_near + 1), np.zeros(n, dtype=np.int64)
+def meetings(points: np.ndarray, near: int, wide: np.ndarray, wide_near: int, label: np.ndarray | None = None, size: np.ndarray | None = None, share: float = 0.0, tree: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Block by block the pairs of a shard within `near`, each both ways round, whose wide fingerprints are within wide_near, and how far those are apart.
+    With labels, those whose labels differ and of whose sizes the smaller is that share of the larger or more; with a tree's number, those that are
+    not within `near` in a tree before it, where they meet too."""
+    before = np.ascontiguousarray(wide).view("<u4")[:, :tree]
     for x, y in blocks(points, near):
         a, b = np.nonzero(np.bitwise_count(points[x][:, None] ^ points[y][None, :]) <= near)
         a, b = x[a], y[b]
         go = a != b if label is None else (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= share * np.maximum(size[a], size[b]) - 1e-9)
         a, b = a[go], b[go]
         d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
-        a, b, d = a[d <= wide_near], b[d <= wide_near], d[d <= wide_near]
-        if every:
-            out.append((np.minimum(a, b), np.maximum(a, b)))
-            continue
+        go = d <= wide_near
+        a, b, d = a[go], b[go], d[go]
+        if tree:
+            go = (np.bitwise_count(before[a] ^ before[b]) > near).all(axis=1)
+            a, b, d = a[go], b[go], d[go]
+        if len(a):
+            yield a, b, d
+
+
+def nearest(met: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of n points those in such pairs, and the nearest that each has there."""
+    best, to = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+    for a, b, d in met:
         for p, q in ((a, b), (b, a)):
             order = np.lexsort((d, p))
             p, q, e = p[order], q[order], d[order]
-            first = np.r_[True, p[1:] != p[:-1]][: len(p)]
+            first = np.r_[True, p[1:] != p[:-1]]
             p, q, e = p[first], q[first], e[first]
             less = e < best[p]
             best[p[less]], to[p[less]] = e[less], q[less]
-    if not every:
-        a = np.flatnonzero(best <= wide_near)
-        return a, to[a]
-    pairs = np.unique(np.concatenate([a * n + b for a, b in out])) if out else np.zeros(0, dtype=np.int64)
-    return pairs // n, pairs % n
+    a = np.flatnonzero(to >= 0)
+    return a, to[a]
+
+
+def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of x has in common with each of y."""
+    total = np.zeros((len(x), len(y)), dtype=np.int64)
+    rows = [np.repeat(np.arange(len(s)), [len(t) for t in s]) for s in (x, y)]
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    places = []
+    for s, r in zip((x, y), rows, strict=True):
+        value = np.concatenate(s)
+        at = np.searchsorted(both, value)
+        here = at < len(both)
+        here[here] = both[at[here]] == value[here]
+        order = np.argsort(at[here], kind="stable")
+        places.append((at[here][order], r[here][order]))
+    for start in range(0, len(both), COLUMNS):
+        left, right = (np.zeros((len(s), COLUMNS), dtype=np.float32) for s in (x, y))
+        for m, (at, r) in zip((left, right), places, strict=True):
+            i, j = np.searchsorted(at, [start, start + COLUMNS])
+            m[r[i:j], at[i:j] - start] = 1
+        total += (left @ right.T).astype(np.int64)
+    return total
+
+
+def link_sets(met: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], label: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a shard whose sets have that Jaccard similarity or more: enough of them to link all labels that any of them link."""
+    names, of = np.unique(label, return_inverse=True)
+    groups, out = Groups(len(names)), []
+    for a, b, _ in met:
+        open_yet = groups.root[of[a]] != groups.root[of[b]]
+        a, b = a[open_yet], b[open_yet]
+        if not len(a):
+            continue
+        x, i = np.unique(a, return_inverse=True)
+        y, j = np.unique(b, return_inverse=True)
+        both = common([sets[k] for k in x], [sets[k] for k in y])[i, j]
+        n = np.array([len(s) for s in sets])
+        like = both >= similarity * (n[a] + n[b] - both) - 1e-9
+        for p, q in zip(a[like].tolist(), b[like].tolist(), strict=True):
+            if groups.root[of[p]] != groups.root[of[q]]:
+                groups.join(of[[p]], of[[q]])
+                out.append((p, q))
+    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def pair_numbers(part: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +321,7 @@ def routed(points: DataFrame, near: int) -> DataFrame:
             all_prints = raw.view(">u8").astype("<u8")
             for k, tree in enumerate(trees.value):
                 rows, shards = tree.route(all_prints[:, k])
-                yield ids, all_prints[:, k], wide, rows, shards + k * 1_000_000
+                yield ids, all_prints[:, k], wide, rows, shards + k * TREE_SHARDS
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -317,24 +371,66 @@ def links(points: DataFrame, near: int) -> DataFrame:
     return routed(points, near).groupBy("shard", "pair").applyInArrow(link, "a long, b long")
 
 
-def candidates(points: DataFrame, near: int, wide_near: int, share: float = 0.0, every: bool = False) -> DataFrame:
+def candidates(points: DataFrame, near: int, wide_near: int, share: float = 0.0) -> DataFrame:
     """points as routed() takes them, and label and size (long) where only pairs of different labels are wanted, whose sizes could have that
-    share in common. Returns a < b: the nearest of each point in each shard, or every pair."""
+    share in common. Returns a < b: the nearest of each point in each shard."""
     labelled = "label" in points.columns
     if labelled:
-        points = points.withColumn("wide", F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("label", "size")), "wide"))
+        points = with_label(points)
 
     def pair(t):
         import pyarrow as pa
 
         ids, prints, wide = unpacked(t)
-        of = (wide[:, 2:], wide_near, wide[:, 0], wide[:, 1].byteswap().astype(np.int64), share) if labelled else (wide, wide_near)
-        a, b = shard_pairs(prints, near, *of, every=every)
+        met = meetings(prints, near, *of_label(wide, wide_near), share) if labelled else meetings(prints, near, wide, wide_near)
+        a, b = nearest(met, len(ids))
         return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
 
     return routed(points, near).groupBy("shard", "pair").applyInArrow(pair, "a long, b long").distinct()
 
 
+def with_label(points: DataFrame) -> DataFrame:
+    """points with label and size before the wide fingerprint's bytes."""
+    return points.withColumn("wide", F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("label", "size")), "wide"))
+
+
+def of_label(wide: np.ndarray, wide_near: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """What meetings() takes of such bytes."""
+    return wide[:, 2:], wide_near, wide[:, 0], wide[:, 1].byteswap().astype(np.int64)
+
+
+def set_links(points: DataFrame, sets: DataFrame, near: int, wide_near: int, similarity: float) -> DataFrame:
+    """points as routed() takes them, wide having all trees' fingerprints, with label and size; sets: id and set. Returns a and b whose sets have that
+    similarity, enough of them to link all labels that any pair of points links. The sets go to those shards alone where their points
+    have others to be compared with, and are compared there, so that not a row is made for a pair that fails. Shards with many
+    bytes of sets are dealt out by pairs of parts."""
+
+    def wait(key, t):
+        import pyarrow as pa
+
+        ids, prints, wide = unpacked(t)
+        a, _ = nearest(meetings(prints, near, *of_label(wide, wide_near), similarity, key[0].as_py() // TREE_SHARDS), len(ids))
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(a), pa.int64()), "pair": pa.array([key[1].as_py()] * len(a), pa.int64()), "id": ids[a], "print": prints[a].view(np.int64)})
+
+    places = cut(routed(with_label(points), near).groupBy("shard", "pair").applyInArrow(wait, "shard long, pair long, id long, print long"), "places")
+    points = points.select("id", "label", "size", "wide")
+    parts = places.join(points.select("id", "size"), "id").groupBy("shard", "pair").agg(F.ceil(F.sum("size") * 8 / SET_BYTES).cast("int").alias("parts"))
+    dealt = places.join(parts, ["shard", "pair"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("sub", F.least("part", "other") * F.col("parts").cast("long") + F.greatest("part", "other"))
+
+    def link(key, t):
+        import pyarrow as pa
+
+        ids, prints, label, size = (t.column(c).to_numpy() for c in ("id", "print", "label", "size"))
+        wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), dtype="<u8").reshape(len(ids), -1)
+        met = meetings(prints.view(np.uint64), near, wide, wide_near, label, size, similarity, key[0].as_py() // TREE_SHARDS)
+        a, b = link_sets(met, label, [np.frombuffer(s, dtype=np.uint64) for s in t.column("set").to_pylist()], similarity)
+        return pa.table({"a": ids[a], "b": ids[b]})
+
+    whole = dealt.select("shard", "pair", "sub", "id", "print").join(points, "id").join(sets, "id")
+    return whole.groupBy("shard", "pair", "sub").applyInArrow(link, "a long, b long")
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and the 64-bit fingerprint (long) of every row."""
 
@@ -466,14 +562,17 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     pairs = cut(candidates(points, RADIUS, limit), "pairs")
     met = cut(points.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), "met")
     sets = cut(shingle_sets(docs, met.select("id", "at.*"), words), "sets")
-    linked, tried = cut(alike(pairs, sets, similarity), "links"), pairs
+    linked = cut(alike(pairs, sets, similarity), "links")
     # sets that share 0.8 of their elements are no more unlike in size
     sized = cut(met.select("id", "prints", "wide").join(sets.select("id", (F.octet_length("set") / 8).cast("long").alias("size")), "id"), "sized")
-    # then the nearest of each point in another group, so that a group of many near copies is one before all other pairs are listed
-    for every in (False, True):
-        labelled = sized.join(components(linked).withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        rest = cut(candidates(cut(labelled, "labelled"), RADIUS, limit, similarity, every).join(tried, ["a", "b"], "left_anti"), "pairs")
-        linked, tried = linked.union(cut(alike(rest, sets, similarity), "links")), tried.union(rest)
+
+    def labelled() -> DataFrame:
+        return cut(sized.join(components(linked).withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+
+    # then the nearest of each point in another group, and all that is left between groups within the shards
+    rest = cut(candidates(labelled(), RADIUS, limit, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    linked = linked.union(cut(alike(rest, sets, similarity), "links"))
+    linked = linked.union(cut(set_links(labelled(), sets, RADIUS, limit, similarity), "links"))
     roots = components(linked)
     root = points.join(roots, "id", "left").select("key", "at", F.coalesce("root", "id").alias("root"))
     first = root.groupBy("root").agg(F.min("at").alias("first"))

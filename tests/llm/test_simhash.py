@@ -145,3 +145,48 @@ def test_every_two_points_of_a_shard_meet():
     rows, pairs = simhash.pair_numbers(part, np.full(6, 4))
     met = {frozenset((a, b)) for p in set(pairs.tolist()) for a in rows[pairs == p].tolist() for b in rows[pairs == p].tolist()}
     assert len(met) == 6 * 7 // 2 and len(rows) == 24
+
+
+def test_sets_of_a_shard_against_plain_code():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 12_000, n).astype(np.uint64)) for n in (0, 1, 30, 5000, 9000, 9000)]
+    sets += [np.unique(np.r_[sets[3][: 5000 - k], rng.integers(20_000, 30_000, k).astype(np.uint64)]) for k in (0, 200, 400, 900)]
+    plain = [[len(set(x.tolist()) & set(y.tolist())) for y in sets] for x in sets[2:]]
+    assert simhash.common(sets[2:], sets).tolist() == plain
+    a, b = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    far = a != b
+    got = simhash.link_sets(iter([(a[far], b[far], None)]), np.arange(len(sets)), sets, 0.8)
+    alike = {(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) and len(sets[i])}
+    assert {(max(p), min(p)) for p in zip(*(x.tolist() for x in got), strict=True)} <= alike
+    one, all_ = simhash.Groups(len(sets)), simhash.Groups(len(sets))
+    one.join(*got)
+    all_.join(*(np.array(x) for x in zip(*alike, strict=True)))
+    assert one.root.tolist() == all_.root.tolist() and len(got[0]) < len(alike)
+
+
+def test_links_that_only_sets_of_a_shard_show(spark, monkeypatch):
+    """Near copies of one text, many of them too unlike each other; no two are linked before."""
+    from pyspark.sql import functions as F
+
+    rng, docs = random.Random(8), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    for k in range(60):
+        w = list(base)
+        for at in rng.sample(range(400), 4 + k % 5):
+            w[at] = f"v{rng.randrange(5000)}"
+        docs.append((k, " ".join(w)))
+    shingles = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in docs for w in [t.split()]}
+    alike = [(i, j) for i in range(60) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.75 * len(shingles[i] | shingles[j])]
+    want = simhash.Groups(60)
+    want.join(*(np.array(x) for x in zip(*alike, strict=True)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = simhash.signatures(frame).withColumn("id", F.col("doc_id"))
+    sets = simhash.shingle_sets(frame, found.select("id", "doc_id", "text_hash"), 5)
+    sized = found.join(sets.select("id", (F.octet_length("set") / 8).cast("long").alias("size")), "id").select("id", "prints", "wide", "size", F.col("id").alias("label"))
+    for most in (simhash.SET_BYTES, 20_000):  # as one group, and dealt out by pairs of parts
+        monkeypatch.setattr(simhash, "SET_BYTES", most)
+        rows = simhash.set_links(sized, sets, simhash.RADIUS, simhash.wide_distance(0.75), 0.75).collect()
+        assert all(len(shingles[r.a] & shingles[r.b]) >= 0.75 * len(shingles[r.a] | shingles[r.b]) for r in rows)
+        got = simhash.Groups(60)
+        got.join(np.array([r.a for r in rows]), np.array([r.b for r in rows]))
+        assert len(alike) > 100 and (got.root == want.root).mean() > 0.95
