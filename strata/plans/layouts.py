@@ -12,18 +12,22 @@ from strata.plans.revenue import read
 from strata.session import cut
 from strata.sources import sinks
 
-#: Row groups of a table at least, in the query that counts which of them a bound can hit.
+#: Row groups of two files, in the query that counts which of them a bound can hit; and rows of a file at most, since its task sorts them.
 GROUPS = 40
+FILE_ROWS = 500_000
 BOUND = 100_000.0
 
 
 def k7_skipped_groups(spark, d):
     """Rows above a price by two layouts, and whether the row groups whose bounds can hold one have under a fifth of all rows."""
     (items,) = read(spark, d, "lineitem")
-    rows, out = max(500, items.count() // GROUPS), []
+    n = items.count()
+    n_files = max(2, -(-n // FILE_ROWS))
+    rows, out = max(500, n // (GROUPS * n_files // 2)), []
+    dealt = items.repartition(n_files, "l_orderkey", "l_linenumber")  # by key: rows dealt in turn are sorted before, a whole input task at a time
     for layout, sort in (("sorted", ["l_extendedprice"]), ("unsorted", None)):
         at = _at(spark, layout)
-        sinks.write_table(items, at, n_files=2, sort_by=sort, **{"parquet.block.row.count.limit": str(rows)})
+        sinks.write_table(dealt, at, sort_by=sort, **{"parquet.block.row.count.limit": str(rows)})
         groups = inspection.row_groups(spark, at, "l_extendedprice")
         total = groups.agg(F.sum("n_rows").alias("n_rows"))  # one row
         touched = inspection.hit(groups, low=BOUND).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("touched"))  # one row
