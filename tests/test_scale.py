@@ -2,7 +2,10 @@
 
 import glob
 
-from strata.plans import layouts
+from compare import same
+
+from strata.plans import layouts, revenue
+from strata.session import tasks_for
 
 DATA = "/root/testdata/sf0.001"
 
@@ -19,3 +22,11 @@ def test_row_groups_of_many_files(spark, tmp_path, monkeypatch):
     n = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
     assert [len(glob.glob(f"{tmp_path}/{k}/*.parquet")) for k in ("sorted", "unsorted")] == [-(-n // 1500)] * 2
     assert all(r.n_rows == n and r.holds_all for r in got.values())
+
+
+def test_sellers_days_are_dealt_by_rows(spark, monkeypatch):
+    assert [tasks_for(spark.range(n), 3, 2) for n in (0, 6, 7, 10)] == [2, 2, 3, 4] and tasks_for(spark.range(1)) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(revenue, "tasks_for", lambda df: 7)
+    days = revenue.seller_daily(*revenue.read(spark, DATA, "lineitem", "orders"))
+    assert days.rdd.getNumPartitions() == 7
+    same(spark, revenue.g2_seller_daily, revenue.ORACLE_SQL["g2_seller_daily"], DATA)
