@@ -4,7 +4,7 @@ import glob
 
 from compare import same
 
-from strata.plans import layouts, revenue
+from strata.plans import basics, layouts, revenue
 from strata.session import tasks_for
 
 DATA = "/root/testdata/sf0.001"
@@ -30,3 +30,10 @@ def test_sellers_days_are_dealt_by_rows(spark, monkeypatch):
     days = revenue.seller_daily(*revenue.read(spark, DATA, "lineitem", "orders"))
     assert days.rdd.getNumPartitions() == 7
     same(spark, revenue.g2_seller_daily, revenue.ORACLE_SQL["g2_seller_daily"], DATA)
+
+
+def test_capped_files_come_from_tasks_by_rows(spark, tmp_path, monkeypatch):
+    written(monkeypatch, basics, tmp_path)
+    monkeypatch.setattr(basics, "tasks_for", lambda df, least: 5, raising=False)
+    same(spark, basics.k8_rows_a_file, basics.ORACLE_SQL["k8_rows_a_file"], DATA)
+    assert len({f.split("part-")[1][:5] for f in glob.glob(f"{tmp_path}/capped/*.parquet")}) == 5
