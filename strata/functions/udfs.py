@@ -34,11 +34,31 @@ def apply_per_group(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame],
 
 @F.pandas_udf(T.DoubleType())
 def weighted_mean(value: pd.Series, weight: pd.Series) -> float:
-    """An aggregate over a group."""
+    """An aggregate over a group, which its task holds whole; weighted_means() has no such bound."""
     total = weight.sum()
     return float((value * weight).sum() / total) if total else None
 
 
+def weighted_means(df: DataFrame, keys: list[str], value: str, weight: str, name: str = "mean") -> DataFrame:
+    """keys and the weighted mean of each group, however large: every Arrow batch gives its sums by group, which Spark adds up. Null where the
+    weights are 0 or there are no values; a null key is a key like any other."""
+    rows = df.select(*keys, F.col(value).cast("double").alias("_value"), F.col(weight).cast("double").alias("_weight"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            v, w = (pc.if_else(pc.is_nan(batch.column(c)), None, batch.column(c)) for c in ("_value", "_weight"))  # NaN counts as null
+            found = pa.table({**{k: batch.column(k) for k in keys}, "_sum": pc.multiply(v, w), "_total": w}).group_by(keys, use_threads=False).aggregate([("_sum", "sum"), ("_total", "sum")])
+            yield from found.select([*keys, "_sum_sum", "_total_sum"]).rename_columns([*keys, "_sum", "_total"]).to_batches()
+
+    double = T.DoubleType()
+    sums = rows.mapInArrow(run, T.StructType([*(rows.schema[k] for k in keys), T.StructField("_sum", double), T.StructField("_total", double)]))
+    total = F.sum("_total")
+    return sums.groupBy(*keys).agg(F.when(total != 0, F.sum("_sum") / total).alias(name))
+
+
 @F.pandas_udf(T.DoubleType())
 def haversine_km(lat: pd.Series, lon: pd.Series, lat0: pd.Series, lon0: pd.Series) -> pd.Series:
     """Great-circle distance of points in degrees; null where a coordinate is."""

@@ -39,7 +39,8 @@ def u5_zscores(spark, d):
 
 def u6_weighted_mean(spark, d):
     (items,) = read(spark, d, "lineitem")
-    return items.groupBy("l_returnflag", "l_linestatus").agg(F.round(udfs.weighted_mean("l_extendedprice", "l_quantity"), 4).alias("mean_price"))
+    means = udfs.weighted_means(items, ["l_returnflag", "l_linestatus"], "l_extendedprice", "l_quantity")
+    return means.select("l_returnflag", "l_linestatus", F.round("mean", 4).alias("mean_price"))
 
 
 def u6_table_function(spark, d):

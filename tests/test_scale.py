@@ -4,7 +4,9 @@ import glob
 
 from compare import same
 
-from strata.plans import basics, layouts, revenue
+from strata import inspection
+from strata.functions import udfs
+from strata.plans import basics, layouts, python, revenue
 from strata.session import tasks_for
 
 DATA = "/root/testdata/sf0.001"
@@ -37,3 +39,16 @@ def test_capped_files_come_from_tasks_by_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(basics, "tasks_for", lambda df, least: 5, raising=False)
     same(spark, basics.k8_rows_a_file, basics.ORACLE_SQL["k8_rows_a_file"], DATA)
     assert len({f.split("part-")[1][:5] for f in glob.glob(f"{tmp_path}/capped/*.parquet")}) == 5
+
+
+def test_weighted_means_of_batches(spark):
+    nan = float("nan")
+    rows = [("a", 1, 2.0, 1.0), ("a", 1, 4.0, 3.0), ("a", 1, None, 4.0), ("a", 1, nan, 8.0), ("a", 2, 5.0, None), (None, 1, 7.0, 2.0), (None, None, 8.0, 2.0), ("b", 1, 1.0, 1.0), ("b", 1, 2.0, -1.0)]
+    df = spark.createDataFrame(rows, "k string, j long, x double, w double").repartition(5)
+    got = {(r.k, r.j): r.mean for r in udfs.weighted_means(df, ["k", "j"], "x", "w").collect()}
+    assert got == {("a", 1): 14 / 16, ("a", 2): None, (None, 1): 7.0, (None, None): 8.0, ("b", 1): None}
+    whole = df.groupBy("k", "j").agg(udfs.weighted_mean("x", "w").alias("mean")).collect()
+    assert got == {(r.k, r.j): r.mean for r in whole}
+    assert udfs.weighted_means(df.limit(0), ["k"], "x", "w").isEmpty()
+    facts = inspection.plan_facts(python.u6_weighted_mean(spark, DATA))
+    assert facts["python"] == ["MapInArrow"]  # no group is gathered for Python
