@@ -438,13 +438,12 @@ def d6_previous(spark, d):
 
 
 def d9_fact(spark, d):
-    """Items with the keys of their day, part and seller."""
+    """Items with the keys of their day, part and seller. The long keys are made after the joins, so that none is shuffled."""
     items, orders, part, supplier = read(spark, d, "lineitem", "orders", "part", "supplier")
-    o = orders.select("o_orderkey", F.date_format("o_orderdate", "yyyyMMdd").cast("int").alias("date_key"))
-    p = part.select("p_partkey", columns.surrogate_key("p_partkey").alias("product_key"))
-    s = supplier.select("s_suppkey", columns.surrogate_key("s_suppkey").alias("seller_key"))
-    fact = joins.enrich(items, o, ("l_orderkey", "o_orderkey"), [(p, "l_partkey", "p_partkey"), (s, "l_suppkey", "s_suppkey")])
-    return fact.select("l_orderkey", "l_linenumber", "date_key", "product_key", "seller_key", "l_quantity")
+    o = orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    fact = joins.enrich(items, o, ("l_orderkey", "o_orderkey"), [(part.select("p_partkey"), "l_partkey", "p_partkey"), (supplier.select("s_suppkey"), "l_suppkey", "s_suppkey")])
+    keys = {"date_key": F.date_format("day", "yyyyMMdd").cast("int"), "product_key": columns.surrogate_key("p_partkey"), "seller_key": columns.surrogate_key("s_suppkey")}
+    return fact.withColumns(keys).select("l_orderkey", "l_linenumber", *keys, "l_quantity")
 
 
 def d11_wide(spark, d):

@@ -52,3 +52,15 @@ def test_weighted_means_of_batches(spark):
     assert udfs.weighted_means(df.limit(0), ["k"], "x", "w").isEmpty()
     facts = inspection.plan_facts(python.u6_weighted_mean(spark, DATA))
     assert facts["python"] == ["MapInArrow"]  # no group is gathered for Python
+
+
+def test_long_keys_are_made_after_the_joins(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = inspection.plan_text(basics.d9_fact(spark, DATA))
+        # the last stage's projection alone makes keys: no row with one is shuffled
+        assert not [line for line in text.split("\n\n") if ") Exchange" in line and "_key#" in line]
+        same(spark, basics.d9_fact, basics.ORACLE_SQL["d9_fact"], DATA)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
