@@ -24,7 +24,7 @@ def session_paths(df: DataFrame, user: str, ts: str, kind: str, page: str, kinds
     drafts: open sessions too, after each batch that they change in, with is_final false. Events of kinds that are not
     named count in n_events alone; null pages are left out of the path."""
     names = ["user_id", "session_start", "session_end", "n_events", *(f"n_{k}" for k in kinds), "path", "is_final"]
-    schema = ", ".join(["user_id long, session_start timestamp, session_end timestamp, n_events long", *(f"n_{k} long" for k in kinds), "path array<string>, is_final boolean"])
+    schema = ", ".join(["user_id long, session_start long, session_end long, n_events long", *(f"n_{k} long" for k in kinds), "path array<string>, is_final boolean"])
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
@@ -56,14 +56,15 @@ def session_paths(df: DataFrame, user: str, ts: str, kind: str, page: str, kinds
                 give(now, True)
                 if state.exists:
                     state.remove()
-        got = pd.DataFrame(out, columns=names)
-        for c in ("session_start", "session_end"):
-            got[c] = pd.to_datetime(got[c], unit="us", utc=True)
-        yield got
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     mode = "update" if drafts else "append"
-    # pandas would see the session's wall clock, which the watermark knows nothing of
-    return df.withColumn("_at", F.unix_micros(ts)).groupBy(user).applyInPandasWithState(step, schema, "open string", mode, GroupStateTimeout.EventTimeTimeout)
+    # pandas would see the session's wall clock, which the watermark knows nothing of; and each group's times would take longer to convert than all else.
+    # ts itself goes along, as the watermark is on it
+    rows = df.select(*dict.fromkeys([user, ts, kind, page]), F.unix_micros(ts).alias("_at"))
+    found = rows.groupBy(user).applyInPandasWithState(step, schema, "open string", mode, GroupStateTimeout.EventTimeTimeout)
+    return found.withColumns({c: F.timestamp_micros(c) for c in ("session_start", "session_end")})
 
 
 HISTORY = "user_id long, event_id long, ts timestamp, amount double, n_recent long, moved boolean, mean_before double"

@@ -3,11 +3,14 @@
 import glob
 
 from compare import same
+from pyspark.sql import functions as F
 
 from strata import inspection
 from strata.functions import udfs
 from strata.plans import basics, layouts, python, revenue
 from strata.session import tasks_for
+from strata.streaming import events as st
+from strata.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
 
@@ -64,3 +67,12 @@ def test_long_keys_are_made_after_the_joins(spark):
         same(spark, basics.d9_fact, basics.ORACLE_SQL["d9_fact"], DATA)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_times_of_sessions_reach_python_as_numbers(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1_700_000_000, "view", "not needed")], "user long, at long, kind string, other string").withColumn("ts", F.timestamp_seconds("at"))
+    rows.write.parquet(f"{tmp_path}/s")
+    stream = st.with_event_time(st.read_stream(spark, f"{tmp_path}/s", rows.schema), "ts", "1 minute")
+    plan = jobs.session_paths(stream, "user", "ts", "kind", "kind", ["view"], 1800)._jdf.queryExecution().analyzed().toString()
+    assert "other" not in plan.split("FlatMapGroupsInPandasWithState")[1].split("\n")[1]  # columns that no session needs stay out
+    assert "timestamp_micros(session_start" in plan
