@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import decontamination, packing, pii, simhash, toxicity
-from strata.llm.shared import cut, table
+from strata.llm.shared import cut, sifted, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -18,8 +18,13 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    copies = simhash.near_duplicates(docs).where("NOT first").select("doc_id", "text_hash").distinct()
-    return docs.dropDuplicates(["doc_id", "text"]).withColumn("text_hash", simhash.text_hash()).join(copies, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
+    key = ["doc_id", "text_hash"]
+    docs = docs.withColumn("text_hash", simhash.text_hash())
+    copies = cut(simhash.near_duplicates(docs).where("NOT first").select(*key).distinct(), "copies")
+    twice = docs.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    # only texts that may go are shuffled
+    doubtful, sure = sifted(docs, cut(copies.union(twice), "doubtful"))
+    return doubtful.join(copies, key, "left_anti").dropDuplicates([*key, "text"]).select(*COLUMNS).union(sure.select(*COLUMNS))
 
 
 def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch: with texts of up to a few hundred kB, a batch stays well under an executor's memory.
 BATCH_ROWS = 500
 
+#: Bits of one of Spark's bitmaps (4 kB), and how many bitmaps sifted() sends to the tasks at most.
+BITS, BITMAPS = 32_768, 1_024
+
 #: Set where the session names no folder, as in tests on one machine.
 _LOCAL: dict[str, str] = {}
 
@@ -74,6 +77,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sifted(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two: the rows whose columns named as those of keys may hold one of keys, and the rows that surely hold none. A join with keys
+    then shuffles only the former with all that they hold. The hash of a key sets a bit; the bits, of which there are 64 a key and BITMAPS * BITS at
+    most, go to all tasks, and the fuller they are, the more of the other rows are among the former."""
+    on = [F.col(f.name).cast(f.dataType) for f in keys.schema]
+    n = max(1, min(BITMAPS, -(-64 * keys.count() // BITS)))
+    bit = F.pmod(F.xxhash64(F.lit("sifted"), *on), F.lit(n * BITS))
+    set_ = keys.select(F.shiftright(bit, 15).alias("_map"), bit.bitwiseAND(BITS - 1).alias("_bit")).repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    rows = df.withColumns({"_map": F.shiftright(bit, 15), "_bit": bit.bitwiseAND(BITS - 1).cast("int")}).join(F.broadcast(set_), "_map", "left")
+    byte = F.conv(F.hex(F.substr("_bits", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("long")
+    may = F.coalesce(F.getbit(byte, F.col("_bit").bitwiseAND(7)) == 1, F.lit(False))
+    return rows.where(may).select(*df.columns), rows.where(~may).select(*df.columns)
+
+
 def spread_sample(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
     """About `most` of df's `rows` rows, chosen by a hash of key: the same ones on every run and retry."""
     if rows <= most:

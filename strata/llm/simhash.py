@@ -26,17 +26,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.components import components
-from strata.llm.shared import cut, small_batches, spread_sample, table
+from strata.llm.shared import cut, sifted, small_batches, spread_sample, table
 
 SEED = 42
-#: Fingerprints that the trees are fitted on at most, and those that a shard should hold.
+#: Fingerprints that the trees are fitted on at most, and those that a shard should hold, for each of the trees: several trees
+#: have as many shards in all as one, and fewer boundary points.
 SAMPLE, SHARD = 16_384, 32_768
 #: Points that a task routes at once.
 HELD = 16_384
 #: A shard is divided until its parts are so small.
 BLOCK = 512
 #: Points of a shard that a task takes at once, about; a larger shard is dealt to tasks by pairs of such parts.
-MOST = 1 << 20
+MOST = 1 << 22
 #: near_duplicates: trees and bits of a tree's fingerprint, those of the wide one (the first trees' together); distance of
 #: links. Of texts at a similarity of 0.8, 0.367 are within 2 of 32 bits, and 0.996 so in one of 12 trees.
 TREES, TREE_BITS, WIDE_BITS, RADIUS = 12, 32, 384, 2
@@ -313,7 +314,7 @@ def routed(points: DataFrame, near: int) -> DataFrame:
     n = points.count()
     sample = spread_sample(points, "id", SAMPLE, n).select("prints").toPandas()["prints"]
     prints = np.frombuffer(b"".join(sample), dtype=">u8").astype(np.uint64).reshape(len(sample), -1) if len(sample) else np.zeros((0, 1), dtype=np.uint64)
-    trees = spark.sparkContext.broadcast([Tree(np.unique(prints[:, k]), math.ceil(n / SHARD), near) for k in range(prints.shape[1])])
+    trees = spark.sparkContext.broadcast([Tree(np.unique(prints[:, k]), math.ceil(n / (SHARD * prints.shape[1])), near) for k in range(prints.shape[1])])
 
     def each(batches: Iterator) -> Iterator:
         """For some points and each tree: ids, fingerprints of the tree and wide ones, and which go to which shard."""
@@ -514,8 +515,10 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in utf8(batch.column(1))], pa.binary())], names=["id", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
-    # rows that are the same in id and text are one node
-    return texts.join(nodes, ["doc_id", "text_hash"]).select("id", "text").dropDuplicates(["id"]).mapInArrow(run, "id long, set binary")
+    # most texts are no node, and are not shuffled
+    texts, _ = sifted(texts, nodes.select("doc_id", "text_hash"))
+    # rows that are the same in id and text are one node; they lie together after the join
+    return texts.join(nodes, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "id"]).select("id", "text").mapInArrow(run, "id long, set binary")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -22,3 +22,25 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture
+def shuffled(spark):
+    """How many bytes a function's jobs shuffle where no side of a join is small enough to go to all tasks by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    def measure(run):
+        store = spark.sparkContext._jsc.sc().statusStore()
+
+        def total():
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+            stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+            return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+        start = total()
+        run()
+        return total() - start
+
+    yield measure
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -190,3 +190,13 @@ def test_links_that_only_sets_of_a_shard_show(spark, monkeypatch):
         got = simhash.Groups(60)
         got.join(np.array([r.a for r in rows]), np.array([r.b for r in rows]))
         assert len(alike) > 100 and (got.root == want.root).mean() > 0.95
+
+
+def test_several_trees_have_as_many_shards_as_one(spark, monkeypatch):
+    """So a point has fewer boundaries to go to both sides of, and no more copies of it for more points."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(simhash, "SHARD", 50)
+    points = spark.range(600).select("id", F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64("id", F.lit(k)).bitwiseAND(2**32 - 1)), 16, "0") for k in range(12)))).alias("prints"), F.lit(b"").alias("wide"))
+    got = simhash.routed(points, 2).groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    assert sorted(r.n for r in got) == [600] * 12
